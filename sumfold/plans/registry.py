@@ -24,9 +24,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    from sumfold.plans import exact, similarity, sketches, workloads  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_sql)
