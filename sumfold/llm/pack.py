@@ -53,7 +53,7 @@ class Encoder:
         if len(self.seen) > CACHE:
             self.seen.clear()
         parts = self.PATTERN.findall(text)
-        new = list(set(parts) - self.seen.keys())
+        new = [p for p in set(parts) if p not in self.seen]  # a difference with keys() would walk all of them
         if new:
             self.seen.update(zip(new, (e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
         return list(chain.from_iterable(map(self.seen.__getitem__, parts)))
