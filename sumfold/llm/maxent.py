@@ -23,6 +23,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,7 @@ END = b" "  # no word
 HEAD, UNITS = 1 << 18, 1 << 12
 CLASSES, MEMBERS = 16, 16  # outcomes of the two factors: 15 classes and the repetition; 15 words and the rest
 TABLE = (1 << 14, 1 << 15)  # feature rows of the two factors
-ROUNDS, RATE, CHUNK, TASKS, FLUSH = 3, 0.4, 1 << 15, 2048, 400_000
+ROUNDS, RATE, DAMP, CHUNK, TASKS, FLUSH = 3, 0.4, 10.0, 1 << 14, 2048, 400_000
 FEATURES = 4
 
 
@@ -151,7 +152,7 @@ class Batch:
         get, n = v.words.get, [len(t) + 1 for t in texts]
         flat = [w for t in texts for w in (*t, END)]
         self.flat, self.n = flat, np.array(n)
-        self.word = np.fromiter((get(w, -1) for w in flat), np.int64, len(flat))
+        self.word = np.fromiter(map(get, flat, repeat(-1)), np.int64, len(flat))
         tail = np.flatnonzero(self.word < 0)
         tail_class = v.of_unit[[unit(flat[i]) for i in tail]] if len(tail) else np.zeros(0, np.int64)
         h = len(v.counts)
@@ -179,7 +180,7 @@ class Batch:
         f = self.f[:, a:b]
         if level:
             f = (f ^ (self.group[a:b].astype(np.uint64) + np.uint64(1)) * np.uint64(0x94D049BB133111EB)) * np.uint64(0x9E3779B97F4A7C15)
-        return (f >> np.uint64(40)).astype(np.int64) & (TABLE[level] - 1)
+        return (f >> np.uint64(40)).astype(np.int32) & np.int32(TABLE[level] - 1)
 
 
 @dataclass
@@ -187,15 +188,22 @@ class Weights:
     bias: tuple[np.ndarray, np.ndarray]
     table: list[np.ndarray]
 
-    def log_shares(self, level: int, rows: np.ndarray, group: np.ndarray) -> np.ndarray:
+    def logits(self, level: int, rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of all outcomes, their exponentials and the sums of those. Scores are clipped, so nothing overflows."""
         t = self.table[level]
-        z = t[rows[0]]
+        z = t.take(rows[0], axis=0)
         for r in rows[1:]:
-            z += t[r]
-        z += self.bias[0] if level == 0 else self.bias[1][group]
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return z
+            z += t.take(r, axis=0)
+        z += self.bias[0] if level == 0 else self.bias[1].take(group, axis=0)
+        np.clip(z, -60, 60, out=z)
+        e = np.exp(z)
+        return z, e, e @ np.ones(e.shape[1], np.float32)
+
+    def log_share(self, level: int, rows: np.ndarray, group: np.ndarray, goals: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+        """Log probabilities of some outcomes of each token."""
+        z, _, total = self.logits(level, rows, group)
+        at, norm = np.arange(len(z)), np.log(total)
+        return [(z[at, g] - norm).astype(float) for g in goals]
 
 
 def start_weights(v: Vocabulary) -> Weights:
@@ -212,7 +220,7 @@ def start_weights(v: Vocabulary) -> Weights:
 class Learner:
     def __init__(self, v: Vocabulary, w: Weights):
         self.v, self.w = v, Weights(w.bias, [t.copy() for t in w.table])
-        self.square, self.used = [np.full(n, 1e-6, np.float32) for n in TABLE], [np.zeros(n, np.int64) for n in TABLE]
+        self.square, self.used = [np.full(n, DAMP, np.float32) for n in TABLE], [np.zeros(n, np.int64) for n in TABLE]
 
     def learn(self, texts: list[list[bytes]]) -> None:
         b = Batch(self.v, texts)
@@ -222,18 +230,19 @@ class Learner:
             self.step(1, b.rows(1, a, a + CHUNK), b.place[a : a + CHUNK], b.group[a : a + CHUNK])
 
     def step(self, level: int, rows: np.ndarray, goal: np.ndarray, group: np.ndarray) -> None:
-        """One AdaGrad step for each feature row by its mean gradient."""
-        g = np.exp(self.w.log_shares(level, rows, group))
+        """One AdaGrad step for each feature row by its summed gradient, scaled down by the root of its count."""
+        _, g, sums = self.w.logits(level, rows, group)
+        g /= sums[:, None]
         g[np.arange(len(goal)), goal] -= 1
-        flat, k = rows.ravel(), g.shape[1]
-        order = np.argsort(flat, kind="stable")
+        flat, k = rows.ravel().astype(np.uint16), g.shape[1]
+        order = np.argsort(flat, kind="stable")  # a radix sort for 16 bits
         here = flat[order]
         start = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]]))
-        total = np.add.reduceat(g[order % len(goal)], start, axis=0)
-        which, n = here[start], np.diff(np.append(start, len(here)))
+        total = np.add.reduceat(np.ascontiguousarray(g.T).take(order % len(goal), axis=1), start, axis=1).T
+        which, n = here[start].astype(np.int64), np.diff(np.append(start, len(here)))
         total /= np.sqrt(n)[:, None].astype(np.float32)
         self.square[level][which] += (total * total).sum(axis=1) / k
-        self.w.table[level][which] -= RATE * total / np.sqrt(self.square[level][which])[:, None]
+        self.w.table[level][which] -= np.float32(RATE) * total / np.sqrt(self.square[level][which])[:, None]
         self.used[level][which] += n
 
 
@@ -324,15 +333,13 @@ def score(docs: DataFrame, model: Model, held_out: Column, doc_id: str = "doc_id
                 ln_p = np.empty(len(b.word))
                 for a in range(0, len(ln_p), CHUNK):
                     group, place, word = b.group[a : a + CHUNK], b.place[a : a + CHUNK], b.word[a : a + CHUNK]
-                    row = np.arange(len(group))
-                    first = w.log_shares(0, b.rows(0, a, a + CHUNK), group)
-                    p = first[row, group].astype(float) + w.log_shares(1, b.rows(1, a, a + CHUNK), group)[row, place]
+                    p, repeat = w.log_share(0, b.rows(0, a, a + CHUNK), group, (group, np.full(len(group), CLASSES - 1)))
+                    p += w.log_share(1, b.rows(1, a, a + CHUNK), group, (place,))[0]
                     shared = place == MEMBERS - 1
                     p[shared] -= ln_rest[group[shared]]
                     known = shared & (word >= 0)
                     p[known] += ln_c[word[known]]
                     again = b.again[a : a + CHUNK]
-                    repeat = first[:, -1].astype(float)
                     p = np.where(again, np.where(word >= 0, np.logaddexp(p, repeat), repeat), p)
                     ln_p[a : a + CHUNK] = p
                 at, known = np.cumsum(b.n) - b.n, b.word >= 0

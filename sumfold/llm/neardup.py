@@ -61,8 +61,9 @@ class Sampler:
         if len(self.words) > WORDS:
             self.words.clear()
         seen = self.words
-        for w in set(words) - seen.keys():
-            seen[w] = xxhash.xxh3_64_intdigest(w)
+        for w in words:
+            if w not in seen:
+                seen[w] = xxhash.xxh3_64_intdigest(w)
         x = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
         n = min(self.shingle, len(x))
         if not n:
