@@ -12,61 +12,80 @@ given and places are found on the executors.
 from __future__ import annotations
 
 import bisect
+import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sumfold.llm.common import cut
 
-CAPACITY, CACHE, RANKED = 2048, 400_000, 100_000
+CAPACITY, RANKED = 2048, 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _byte_ranks(path: str) -> dict[bytes, int] | None:
+    """Token bytes and ids of a tokenizers file, if it is a byte-level BPE whose ids follow its merges; else None."""
+    spec = json.loads(Path(path).read_text())
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not spec.get("normalizer")
+    if model.get("type") != "BPE" or not plain or model.get("dropout") or model.get("unk_token"):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the vocabulary; the others follow from 256 on
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(shown))}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if any(model["vocab"].get(a + b) != 256 + i for i, (a, b) in enumerate(pairs)):
+        return None
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    return {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+
+
 class Encoder:
-    """Token ids by a tokenizers file, with the ids of each pre-token remembered.
+    """Token ids as the tokenizers file gives them.
 
-    Pre-tokens are found by the tokenizer's own byte-level pattern, which it applies before any merge, so
-    remembering them changes no id. Texts with characters on which pattern engines may differ,
-    or with a special token's string, go through the tokenizer whole.
+    Where the file is a byte-level BPE with ids in merge order, plain texts go through a faster engine for
+    the same merges. Texts with characters on which pattern engines may differ, with a special
+    token's string or with runs so long that the faster engine's merging would be quadratic go
+    through tokenizers itself.
     """
 
-    PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-    PLAIN = re.compile("[\\x20-\\x7e\\n\\t\\r¡-¬®-ſ]*")
+    PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    PLAIN = re.compile("[\\x20-\\x7e\\n\\t\\r\u00a1-\u00ac\u00ae-\u017f]*")
+    LONG = re.compile(r"\S{1000}|\s{1000}")
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.seen = Tokenizer.from_file(path), {}
-        special = self.tokenizer.get_added_tokens_decoder().values()
-        self.special = [x.content for x in special]
+        self.tokenizer, ranks = Tokenizer.from_file(path), _byte_ranks(path)
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fast = None if ranks is None else tiktoken.Encoding("file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if not self.PLAIN.fullmatch(text) or any(s in text for s in self.special):
+        if self.fast is None or not self.PLAIN.fullmatch(text) or self.LONG.search(text) or any(s in text for s in self.special):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
-        if len(self.seen) > CACHE:
-            self.seen.clear()
-        parts = self.PATTERN.findall(text)
-        new = [p for p in set(parts) if p not in self.seen]  # a difference with keys() would walk all of them
-        if new:
-            self.seen.update(zip(new, (e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
-        return list(chain.from_iterable(map(self.seen.__getitem__, parts)))
+        return self.fast.encode_ordinary(text)
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for each worker process."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", end: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's pieces: its ids, then `end`. Only longer ones are cut; the first piece takes the remainder. Null text: empty."""
 
     def cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        enc = Encoder(path)
+        enc = encoder(path)
         for pdf in batches:
             out = []
             for i, t in zip(pdf["i"], pdf["t"], strict=True):
