@@ -23,7 +23,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -39,7 +39,7 @@ HEAD, UNITS = 1 << 18, 1 << 12
 CLASSES, MEMBERS = 16, 16  # outcomes of the two factors: 15 classes and the repetition; 15 words and the rest
 TABLE = (1 << 14, 1 << 15)  # feature rows of the two factors
 ROUNDS, RATE, DAMP, CHUNK, TASKS, FLUSH = 3, 0.4, 10.0, 1 << 14, 2048, 400_000
-FEATURES = 4
+USED = ([0, 1, 2, 3], [0, 2])  # features of the two factors: the last word, the last two, the words two and three back
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -150,7 +150,7 @@ class Batch:
 
     def __init__(self, v: Vocabulary, texts: list[list[bytes]]):
         get, n = v.words.get, [len(t) + 1 for t in texts]
-        flat = [w for t in texts for w in (*t, END)]
+        flat = list(chain.from_iterable(chain.from_iterable(zip(texts, repeat((END,))))))
         self.flat, self.n = flat, np.array(n)
         self.word = np.fromiter(map(get, flat, repeat(-1)), np.int64, len(flat))
         tail = np.flatnonzero(self.word < 0)
@@ -177,7 +177,7 @@ class Batch:
         self.f = f * np.uint64(0xD6E8FEB86659FD93)
 
     def rows(self, level: int, a: int, b: int) -> np.ndarray:
-        f = self.f[:, a:b]
+        f = self.f[USED[level], a:b]
         if level:
             f = (f ^ (self.group[a:b].astype(np.uint64) + np.uint64(1)) * np.uint64(0x94D049BB133111EB)) * np.uint64(0x9E3779B97F4A7C15)
         return (f >> np.uint64(40)).astype(np.int32) & np.int32(TABLE[level] - 1)
