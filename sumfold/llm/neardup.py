@@ -3,15 +3,22 @@
 A text's features are its word 5-grams (all its words, if fewer), weighted by TF-IDF.
 Document frequencies are counted over all documents in 2**DF_BITS hashed counters, so
 their size is fixed and what they resolve is a share of the documents, alike at every
-input size. Every text draws BANDS x ROWS consistent weighted samples; texts that agree
-in a band are candidates and are verified by exact weighted Jaccard similarity.
+input size; the IDF is scaled to 1 .. 2 by the logarithm of the number of documents, so a
+shingle weighs at most twice another, however large the corpus or a group in it. Every
+text draws BANDS x ROWS consistent weighted samples; texts that agree in a band are
+candidates. A candidate pair is linked if its exact weighted Jaccard similarity reaches the
+threshold, or its plain one (of the sets of shingles) does.
 
 Copies are collapsed before anything is compared. In a bucket, members are compared with
-one pivot, not with each other; members that stay apart from the rest of their bucket get
-further pivots, and what is still apart in the end is compared pair by pair, so no
-candidate link between classes is lost. Classes are connected components.
-
-Null texts are classes of their own; empty texts are copies of each other.
+one pivot, the member that shares most buckets, not with each other. For buckets that
+stay apart, the shingles that no other such text has are found; they bound the similarity
+of any pair. Texts that cannot reach the threshold with anyone leave, the others get a
+second pivot, and the pairs that are then still in different classes and whose bound
+reaches the threshold are compared one by one. So no candidate link between classes is
+lost, and a large group of near copies does not make all its pairs.
+
+Classes are connected components. Null texts are classes of their own; empty texts are
+copies of each other.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ from pyspark.sql import functions as F
 from sumfold.llm.common import cut
 
 SHINGLE, SIMILARITY, BANDS, ROWS, DF_BITS = 5, 0.8, 10, 3, 20
-CHUNK, WORDS, PIVOTS, BROADCAST_IDS = 1 << 14, 300_000, 8, 500_000
+CHUNK, WORDS, BROADCAST_IDS = 1 << 14, 300_000, 500_000
 DF_BLOCK = 1 << 12
 
 
@@ -109,16 +116,21 @@ class Sampler:
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity: sum of minima over sum of maxima; 1 for two texts without features."""
+    """The larger of weighted Jaccard similarity (minima over maxima) and that of the sets; 1 for two texts without features."""
     (h, w), (g, v) = a, b
     _, i, j = np.intersect1d(h, g, assume_unique=True, return_indices=True)
     both = np.minimum(w[i], v[j]).sum(dtype=np.float64)
     most = w.sum(dtype=np.float64) + v.sum(dtype=np.float64) - both
-    return float(both / most) if most else 1.0
+    return max(float(both / most), len(i) / (len(h) + len(g) - len(i))) if most else 1.0
+
+
+def idf_of(counts: np.ndarray, n: int) -> np.ndarray:
+    """1 for what is in every document to 2 for what is in none."""
+    return (1 + np.log((1 + n) / (1 + np.minimum(counts, n))) / np.log(2 + n)).astype(np.float32)
 
 
 def inverse_frequencies(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> np.ndarray:
-    """Smoothed IDF of each hashed counter, over all rows of docs."""
+    """Scaled IDF of each hashed counter, over all rows of docs."""
     size, per = 1 << DF_BITS, DF_BLOCK
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,13 +154,12 @@ def inverse_frequencies(docs: DataFrame, text: str = "text", shingle: int = SHIN
     parts = parts.groupBy("block", "half").applyInPandas(summed, schema)  # in two steps, so that many tasks' counters meet in no single one
     rows = sorted(parts.groupBy("block").applyInPandas(summed, schema).select("block", "n").collect())  # 2**DF_BITS counters
     total = np.concatenate([np.frombuffer(r.n, "<i8") for r in rows]) if rows else np.zeros(size + 1, np.int64)
-    return (np.log((1 + total[-1]) / (1 + total[:-1])) + 1).astype(np.float32)
+    return idf_of(total[:-1], int(total[-1]))
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the least node of the connected component of every node in links (a, b), by alternating large and small stars."""
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    mark = None
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -156,10 +167,10 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         edges = cut(small, "links")
-        now = edges.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
-        if now == mark:
+        ends = edges.select("a", F.lit(1).alias("up")).unionAll(edges.select("b", F.lit(None).cast("int")).distinct())
+        crossed = ends.groupBy("a").agg(F.count("up").alias("up"), F.count("*").alias("n")).where("up > 1 or (up = 1 and n > 1)")
+        if crossed.isEmpty():  # every node has one root, and no root has one
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(edges.select("b", "b").distinct().toDF("node", "root"))
-        mark = now
 
 
 class Verifier:
@@ -167,13 +178,16 @@ class Verifier:
         self.rows = docs.select(F.md5(F.col(text).cast("binary")).alias("key"), F.col(text).alias("t"))
         self.idf, self.least, self.shingle = idf, least, shingle
 
+    def texts(self, keys: DataFrame) -> DataFrame:
+        """(key, t): each text once. keys is read twice."""
+        few = keys.count() <= BROADCAST_IDS
+        found = self.rows.join(F.broadcast(keys) if few else keys, "key", "left_semi")
+        return found.groupBy("key").agg(F.first("t").alias("t"))
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of text keys whose texts are similar enough. pairs is read twice."""
         idf, least, shingle = self.idf, self.least, self.shingle
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        few = ids.count() <= BROADCAST_IDS
-        texts = self.rows.join(F.broadcast(ids) if few else ids, "key", "left_semi")
-        texts = cut(texts.groupBy("key").agg(F.first("t").alias("t")), "neardup-texts")
+        texts = cut(self.texts(pairs.select("a").unionAll(pairs.select("b")).toDF("key").distinct()), "neardup-texts")
 
         def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             s, held = Sampler(idf.value, shingle=shingle), {}
@@ -193,6 +207,31 @@ class Verifier:
         full = full.join(texts.select(F.col("key").alias("a"), F.col("t").alias("x")), "a")
         return full.select("a", "b", "x", "y").mapInPandas(judged, "a string, b string")
 
+    def unshared(self, keys: DataFrame) -> DataFrame:
+        """(key, n, w, u, uw): shingles and weight of each text, and of those that no other of the texts has. keys is read twice."""
+        idf, shingle = self.idf, self.shingle
+
+        def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            s = Sampler(idf.value, shingle=shingle)
+            for pdf in batches:
+                got = [s.weighted(t) for t in pdf["t"]]
+                yield pd.DataFrame({"key": pdf["key"], "n": [len(h) for h, _ in got], "w": [float(w.sum(dtype=np.float64)) for _, w in got], "h": [h.view(np.int64) for h, _ in got], "x": [w for _, w in got]})
+
+        cells = cut(self.texts(keys).mapInPandas(listed, "key string, n long, w double, h array<long>, x array<float>"), "neardup-cells")
+        each = cells.select(F.unhex("key").alias("k"), F.inline(F.arrays_zip("h", "x")))
+        alone = each.groupBy("h").agg(F.count("*").alias("c"), F.min("k").alias("k"), F.min("x").alias("x")).where("c = 1")
+        alone = alone.groupBy(F.lower(F.hex("k")).alias("key")).agg(F.count("*").alias("u"), F.sum("x").alias("uw"))
+        zero = lambda c: F.coalesce(c, F.lit(0))
+        return cells.select("key", "n", "w").join(alone, "key", "left").select("key", "n", "w", zero("u").alias("u"), zero("uw").alias("uw"))
+
+
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (k, key, root, size) of the buckets that hold more than one class; size: members of the class in the bucket."""
+    rooted = cut(members.join(roots, members["key"] == roots["node"], "left").select("k", "key", F.coalesce("root", "key").alias("root")), "neardup-rooted")
+    parts = cut(rooted.groupBy("k", "root").agg(F.count("*").alias("size")), "neardup-parts")
+    several = parts.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    return rooted.join(parts.join(several, "k", "left_semi"), ["k", "root"])
+
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """One row for each row of docs: doc_id, text_key (md5, null for null), class_id (least doc_id of its class)."""
@@ -207,34 +246,34 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     signs = cut(rows.mapInPandas(signed, "doc_id long, key string, bands array<long>"), "neardup-signs")
     texts = signs.where("key is not null").groupBy("key").agg(F.first("bands").alias("bands"))
     members = cut(texts.select(F.explode("bands").alias("k"), "key"), "neardup-bands")
-    crowded = cut(members.groupBy("k").agg(F.count("*").alias("n"), F.min("key").alias("p")).where("n > 1"), "neardup-pivots")
-    members = cut(members.join(crowded.select("k"), "k", "left_semi"), "neardup-members")
+    crowded = cut(members.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "neardup-crowded")
+    members = cut(members.join(crowded, "k"), "neardup-members")
+    liked = cut(members.groupBy("key").agg(F.sum("n").alias("liked")), "neardup-liked")
+    pivots = cut(members.join(liked, "key").groupBy("k").agg(F.max(F.struct("liked", "key")).alias("p")), "neardup-pivots")
+    members = members.select("k", "key")
     check = Verifier(docs, text, idf, least, shingle)
-    tried = cut(members.join(crowded.select("k", "p"), "k").where("key <> p").select(F.col("key").alias("a"), F.col("p").alias("b")).distinct(), "neardup-tried")
+    ordered = lambda a, b: (F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+    tried = cut(members.join(pivots, "k").where("key <> p.key").select(*ordered(F.col("key"), F.col("p.key"))).distinct(), "neardup-tried")
     links = cut(check.links(tried), "neardup-links")
-    for turn in range(1, PIVOTS + 2):
-        roots = components(links)
-        rooted = members.join(roots, members["key"] == roots["node"], "left").select("k", "key", F.coalesce("root", "key").alias("root"))
-        parts = rooted.groupBy("k", "root").agg(F.count("*").alias("n"))
-        apart = parts.groupBy("k").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("parts")).where("parts > 1")
-        apart = cut(apart, "neardup-apart")
-        size = apart.agg(F.sum("all").alias("rows"), (F.sum(F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs")).first()
-        if not size.rows:
-            break
-        rooted = cut(rooted.join(apart.select("k"), "k", "left_semi"), "neardup-rooted")
-        last = turn > PIVOTS or size.pairs <= 4 * size.rows
-        if last:
-            other = rooted.select("k", F.col("key").alias("q"), F.col("root").alias("other"))
-            more = rooted.join(other, "k").where("root <> other and key > q").select(F.col("key").alias("a"), F.col("q").alias("b"))
-        else:
-            pivot = cut(rooted.groupBy("k").agg(F.min_by(F.struct("key", "root"), F.xxhash64("key", F.lit(turn))).alias("p")), "neardup-pivots")
-            more = rooted.join(pivot, "k").where("root <> p.root").select(F.greatest("key", "p.key").alias("a"), F.least("key", "p.key").alias("b"))
-        done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        more = cut(more.distinct().join(done, ["a", "b"], "left_anti"), "neardup-tried")
+    apart = cut(_apart(members, components(links)), "neardup-apart")
+    if not apart.isEmpty():
+        alone = check.unshared(cut(apart.select("key").distinct(), "neardup-keys"))
+        gap = 1 - least + 1e-6
+        alone = cut(alone.where((F.col("uw") <= gap * F.col("w")) | (F.col("u") <= gap * F.col("n"))), "neardup-unshared")
+        able = cut(apart.select("k", "key", "root").join(alone, "key"), "neardup-able")
+        pivots = cut(able.groupBy("k").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("share"), "key", "root")).alias("p")), "neardup-pivots")
+        more = able.join(pivots, "k").where("root <> p.root").select(*ordered(F.col("key"), F.col("p.key"))).distinct()
+        more = cut(more.join(tried, ["a", "b"], "left_anti"), "neardup-tried")
         links = cut(links.unionAll(check.links(more)), "neardup-links")
         tried = tried.unionAll(more)
-        if last:
-            break
+        rest = cut(_apart(able.select("k", "key"), components(links)).join(alone, "key"), "neardup-rest")
+        main = cut(rest.groupBy("k").agg(F.max(F.struct("size", "root")).alias("main")), "neardup-main")
+        few = cut(rest.join(main, "k").where("root <> main.root").select("k", *[F.col(c).alias(f"{c}_x") for c in ("key", "root", "n", "w", "u", "uw")]), "neardup-few")
+        x = {c: F.col(f"{c}_x") for c in ("n", "w", "u", "uw")}
+        reach = lambda all_, own: F.least(x[all_] - x[own], F.col(all_) - F.col(own)) >= (least - 1e-6) * F.greatest(x[all_] + F.col(own), F.col(all_) + x[own])
+        last = few.join(rest, "k").where((F.col("root_x") != F.col("root")) & (reach("w", "uw") | reach("n", "u")))
+        last = cut(last.select(*ordered(F.col("key_x"), F.col("key"))).distinct().join(tried, ["a", "b"], "left_anti"), "neardup-tried")
+        links = cut(links.unionAll(check.links(last)), "neardup-links")
     roots = components(links)
     named = signs.select("doc_id", "key").join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
     named = cut(named, "neardup-named")
