@@ -30,6 +30,8 @@ IMPLIED = {
     "tbody": ("tbody thead tfoot caption colgroup", frozenset(["table"])), "thead": ("tbody thead tfoot caption colgroup", frozenset(["table"])), "tfoot": ("tbody thead tfoot caption colgroup", frozenset(["table"])),
     "option": ("option", frozenset(["select", "datalist"])), "optgroup": ("optgroup", frozenset(["select"])), "body": ("head", frozenset(["html"])),
 }
+TABLE = frozenset("table tbody thead tfoot tr".split())
+IN_TABLE = frozenset("caption colgroup col tbody thead tfoot tr td th script style template".split())
 IN_HEAD = frozenset("html head title meta link base style script noscript template".split())
 _name = re.compile(r"[a-zA-Z][^\s/>\x00]*")
 _attr = re.compile(r"""([^\s=>/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
@@ -116,13 +118,23 @@ def tree(html: str) -> Node:
     def close_to(i: int) -> None:
         del stack[i:]
 
+    def put(node: Node | str, stray: bool) -> None:
+        """Content that strays between a table's cells goes before the table, which is its parent's last child while open."""
+        if stray and stack[-1].tag in TABLE:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag == "table":
+                    above = stack[i - 1].inside
+                    above.insert(len(above) - 1, node)
+                    return
+        stack[-1].inside.append(node)
+
     for kind, *rest in tokens(html):
         top = stack[-1]
         if kind == "text":
             if top.tag == "head" and rest[0].strip():
                 close_to(len(stack) - 1)
                 top = stack[-1]
-            top.inside.append(rest[0])
+            put(rest[0], bool(rest[0].strip()))
         elif kind == "open":
             tag, attrs, closed = rest
             if tag == "html":
@@ -146,13 +158,13 @@ def tree(html: str) -> Node:
                     if stack[i].tag in stop:
                         break
             node = Node(tag, attrs)
-            stack[-1].inside.append(node)
+            put(node, tag not in IN_TABLE)
             if tag not in VOID and not (closed and tag in ("svg", "path")):
                 stack.append(node)
         else:
             tag = rest[0]
             if tag == "br":
-                stack[-1].inside.append(Node("br", {}))
+                put(Node("br", {}), True)
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
@@ -235,8 +247,6 @@ def _table(table: Node) -> list[str]:
     for c in table.inside:
         if isinstance(c, Node) and c.tag == "caption" and visible(c):
             out += render(c)
-        elif isinstance(c, str) and c.strip():
-            out.append(_space.sub(" ", c).strip())  # text that stands between cells
     rows = [[(render(c), n) for c, n in row] for row in _cells(table)]
     width: dict[int, int] = {}
     for row in rows:
