@@ -131,3 +131,15 @@ def _uniform(h: np.ndarray, salt: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(32)
     return ((x >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
+
+
+def weighted_jaccard(a: Column, b: Column) -> Column:
+    """Share of equal samples; 1 for two empty signatures."""
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x["h"] == y["h"]) & (x["t"] == y["t"])), lambda x: x))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(same / F.greatest(F.size(a), F.size(b)))
+
+
+def weighted_merged(a: Column, b: Column) -> Column:
+    """Place-wise sample of smaller a; an empty signature is the identity."""
+    both = F.zip_with(a, b, lambda x, y: F.when(x["a"] <= y["a"], x).otherwise(y))
+    return F.when(F.size(a) == 0, b).when(F.size(b) == 0, a).otherwise(both)
