@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS, DIM, PER_LANG, CACHE = 1 << 16, 16, 600, 200_000
+BUCKETS, DIM, PER_LANG, CACHE, MOST_REJECTED = 1 << 16, 16, 600, 200_000, 0.4
 _letter = re.compile(r"[^\W\d_]")
 
 
@@ -125,9 +125,9 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5
     heat = float(heats[int(np.argmin(loss))])
     p = _softmax(z / heat) if len(y) else np.ones((1, len(names)))
     right = p.max(axis=1)[p.argmax(axis=1) == y] if len(y) else np.ones(1)
-    # a fifth of what the least sure thousandth of the rightly named texts reaches, but no more than an even guess between two
-    least = float(min(0.5, np.quantile(right, 0.001))) if len(right) else 0.5
-    return Model(names, table.astype(np.float32), b, heat, max(least, 1.0 / len(names)) if len(names) > 1 else 0.0)
+    # what all but a thousandth of the rightly named texts reach, but never so much that a text in two languages would go
+    least = float(min(MOST_REJECTED, np.quantile(right, 0.001))) if len(right) else MOST_REJECTED
+    return Model(names, table.astype(np.float32), b, heat, least if len(names) > 1 else 0.0)
 
 
 def fit(docs: DataFrame, keep: Column | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG) -> Model:
