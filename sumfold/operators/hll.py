@@ -103,3 +103,15 @@ def from_bytes(df: DataFrame, binary: str, keys: tuple[str, ...] = ()) -> DataFr
     good = df.where(F.col(binary).isNotNull() & p.between(4, 16) & (F.octet_length(binary) == 1 + F.expr(f"shiftleft(1, cast(conv(substring(hex({binary}), 1, 2), 16, 10) as int))")))
     cells = F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length(binary) - 1), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))).alias("idx", "rank")
     return good.select(*keys, p.alias("precision"), cells).where("rank > 0")
+
+
+def to_json(sketch: HyperLogLog, name: str = "json") -> DataFrame:
+    """{"precision": p, "registers": [{"idx", "rank"}, …]} of each group, registers in order."""
+    cells = F.sort_array(F.collect_list(F.struct("idx", "rank")))
+    return sketch.df.groupBy(*sketch.keys).agg(F.to_json(F.struct(F.lit(sketch.params["precision"]).alias("precision"), cells.alias("registers"))).alias(name))
+
+
+def from_json(df: DataFrame, text: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Registers (keys, precision, idx, rank) of JSON texts; invalid ones give no rows."""
+    got = F.from_json(F.col(text), "precision int, registers array<struct<idx:int,rank:int>>")
+    return df.select(*keys, got.alias("_s")).where("_s.precision between 4 and 16").select(*keys, F.col("_s.precision").alias("precision"), F.inline("_s.registers"))

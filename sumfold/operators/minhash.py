@@ -49,7 +49,8 @@ def signature_arrow(items: Column, num_perm: int = 128, seed: int = 1) -> Column
             out.append(((a[:, None] * h[None, :] + b[:, None]) & np.uint64(EMPTY)).min(axis=1).astype(np.int64).tolist() if len(h) else [EMPTY] * len(a))
         return pd.Series(out)
 
-    return of(item_hashes(F.array_distinct(items)))
+    # marked so that the optimizer neither repeats the call nor moves it into a lambda or generator
+    return of.asNondeterministic()(item_hashes(F.array_distinct(items)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

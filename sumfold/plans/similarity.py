@@ -252,3 +252,25 @@ def tf_weighted_similarity(spark, d):
     keys = c.select("key").distinct()
     pairs = keys.select(F.col("key").alias("a"), (F.col("key") + 1).alias("b")).join(keys.select(F.col("key").alias("b")), "b")
     return minhash.exact_weighted_jaccard(c, "key", "w", "n", pairs).where("jaccard > 0").withColumn("jaccard", F.round("jaccard", 8))
+
+
+_SHINGLES = """list_distinct(CASE WHEN length(w) = 0 THEN [] WHEN length(w) < 5 THEN [list_aggregate(w, 'string_agg', ' ')]
+              ELSE list_transform(range(1, length(w) - 3), lambda i: list_aggregate(list_slice(w, i, i + 4), 'string_agg', ' ')) END)"""
+_FIVES = f"(SELECT doc_id, {_SHINGLES} AS x FROM (SELECT doc_id, list_filter(string_split(lower(text), ' '), lambda v: length(v) > 0) AS w FROM documents))"
+_SHINGLE_SIGS = f"""SELECT key, list(h ORDER BY pos) AS sig FROM (SELECT key, pos, min((a * ('0x' || substr(sha256(v), 1, 8))::UBIGINT::HUGEINT + b) % 4294967296)::BIGINT AS h
+                    FROM (SELECT doc_id AS key, unnest(x) AS v FROM {_FIVES}), {_PAIRS} GROUP BY ALL) GROUP BY key"""
+
+
+def _shingles(w, k=5):
+    """Distinct runs of k words of an array of words; all words as one, if there are fewer."""
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.concat_ws(" ", F.slice(w, i, F.lit(k))))
+    return F.array_distinct(F.filter(runs, lambda x: F.length(x) > 0))
+
+
+@query(_pairs_sql(_SHINGLE_SIGS, 0.8).replace(f"i * {_R} + 1, i * {_R} + {_R}", "i * 2 + 1, i * 2 + 2").replace(f"range({_B})", "range(16)"))
+def plagiarism_pairs(spark, d):
+    """Near copies among all documents by runs of five words, similarity 0.8 or more."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.filter(F.split(F.lower("text"), " "), lambda v: F.length(v) > 0).alias("w"))
+    docs = docs.select("key", _shingles(F.col("w")).alias("words"))
+    index = lsh.MinHashLSH(_signed(docs), 0.8, PERMS, (16, 2))
+    return index.pairs().withColumn("similarity", F.round("similarity", 8))

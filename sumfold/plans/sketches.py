@@ -240,3 +240,27 @@ def tdigest_merged_cdf(spark, d):
 def native_sketches(spark, d):
     """The engine's own packed sketches: distinct counts, quantiles and heavy hitters in bounded memory."""
     return table(spark, d, "events").groupBy("event_type").agg(F.hll_sketch_estimate(F.hll_sketch_agg("user_id")).alias("users_hll"), F.approx_count_distinct("user_id").alias("users_hpp"), F.percentile_approx("value", 0.5).alias("p50"))
+
+
+@query()
+def native_set_algebra(spark, d):
+    """Users who both viewed and clicked, from the engine's theta sketches."""
+    e = table(spark, d, "events")
+    of = lambda t: F.theta_sketch_agg(F.when(F.col("event_type") == t, F.col("user_id")))
+    s = e.agg(of("view").alias("v"), of("click").alias("c"))
+    n = F.theta_sketch_estimate
+    return s.select(n("v").alias("viewed"), n("c").alias("clicked"), n(F.theta_intersection("v", "c")).alias("both"), n(F.theta_union("v", "c")).alias("either"), n(F.theta_difference("v", "c")).alias("only_viewed"))
+
+
+@query(hll_cells("events", "user_id", "event_type", 6))
+def hll_json_roundtrip(spark, d):
+    s = hll.HyperLogLog.build(table(spark, d, "events"), "user_id", ("event_type",), 6)
+    return hll.from_json(hll.to_json(s), "json", ("event_type",)).select("event_type", "idx", "rank")
+
+
+@query()
+def native_quantiles(spark, d):
+    """Quantiles of mergeable KLL sketches, built by day and merged by event type."""
+    daily = table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.kll_sketch_agg_double("value").alias("s"))
+    merged = daily.groupBy("event_type").agg(F.kll_merge_agg_double("s").alias("s"))
+    return merged.select("event_type", F.kll_sketch_get_quantile_double("s", F.lit(0.5)).alias("p50"), F.kll_sketch_get_quantile_double("s", F.lit(0.95)).alias("p95"))
