@@ -11,10 +11,11 @@ threshold, or its plain one (of the sets of shingles) does.
 
 Copies are collapsed before anything is compared. In a bucket, members are compared with
 one pivot, the member that shares most buckets, not with each other. For buckets that
-stay apart, the shingles that no other such text has are found; they bound the similarity
-of any pair. Texts that cannot reach the threshold with anyone leave, the others get a
-second pivot, and the pairs that are then still in different classes and whose bound
-reaches the threshold are compared one by one. So no candidate link between classes is
+stay apart, the shingles that no other such text has are found. Texts that have so many of
+them that they cannot reach the threshold with anyone leave, the others meet two more pivots.
+What two texts share with the first pivot, and what they have that nobody else has, bounds
+their similarity; the pairs that are still in different classes and whose bound reaches the
+threshold are compared one by one. So no candidate link between classes is
 lost, and a large group of near copies does not make all its pairs.
 
 Classes are connected components. Null texts are classes of their own; empty texts are
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumfold.llm.common import cut
@@ -115,13 +116,18 @@ class Sampler:
         return (out ^ (out >> np.uint64(32))).view(np.int64)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """The larger of weighted Jaccard similarity (minima over maxima) and that of the sets; 1 for two texts without features."""
+def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, float]:
+    """Shared shingles of two weighted texts, and the sum of their smaller weights."""
     (h, w), (g, v) = a, b
     _, i, j = np.intersect1d(h, g, assume_unique=True, return_indices=True)
-    both = np.minimum(w[i], v[j]).sum(dtype=np.float64)
-    most = w.sum(dtype=np.float64) + v.sum(dtype=np.float64) - both
-    return max(float(both / most), len(i) / (len(h) + len(g) - len(i))) if most else 1.0
+    return len(i), float(np.minimum(w[i], v[j]).sum(dtype=np.float64))
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """The larger of weighted Jaccard similarity (minima over maxima) and that of the sets; 1 for two texts without features."""
+    n, w = overlap(a, b)
+    most = a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64) - w
+    return max(w / most, n / (len(a[0]) + len(b[0]) - n)) if most else 1.0
 
 
 def idf_of(counts: np.ndarray, n: int) -> np.ndarray:
@@ -184,12 +190,12 @@ class Verifier:
         found = self.rows.join(F.broadcast(keys) if few else keys, "key", "left_semi")
         return found.groupBy("key").agg(F.first("t").alias("t"))
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of text keys whose texts are similar enough. pairs is read twice."""
+    def judged(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, linked, n, w) for pairs (a, b) of text keys: whether the texts are similar enough, and their overlap. pairs is read twice."""
         idf, least, shingle = self.idf, self.least, self.shingle
         texts = cut(self.texts(pairs.select("a").unionAll(pairs.select("b")).toDF("key").distinct()), "neardup-texts")
 
-        def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             s, held = Sampler(idf.value, shingle=shingle), {}
 
             def of(key: str, text: str):
@@ -200,12 +206,13 @@ class Verifier:
                 return held[key]
 
             for pdf in batches:
-                ok = [similarity(s.weighted(x), of(b, y)) >= least for x, b, y in zip(pdf["x"], pdf["b"], pdf["y"], strict=True)]
-                yield pdf.loc[np.array(ok, bool), ["a", "b"]]
+                both = [(s.weighted(x), of(b, y)) for x, b, y in zip(pdf["x"], pdf["b"], pdf["y"], strict=True)]
+                shared = [overlap(x, y) for x, y in both]
+                yield pdf[["a", "b"]].assign(linked=[similarity(x, y) >= least for x, y in both], n=[n for n, _ in shared], w=[w for _, w in shared])
 
         full = pairs.join(texts.select(F.col("key").alias("b"), F.col("t").alias("y")), "b")
         full = full.join(texts.select(F.col("key").alias("a"), F.col("t").alias("x")), "a")
-        return full.select("a", "b", "x", "y").mapInPandas(judged, "a string, b string")
+        return cut(full.select("a", "b", "x", "y").mapInPandas(judge, "a string, b string, linked boolean, n long, w double"), "neardup-judged")
 
     def unshared(self, keys: DataFrame) -> DataFrame:
         """(key, n, w, u, uw): shingles and weight of each text, and of those that no other of the texts has. keys is read twice."""
@@ -254,26 +261,40 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     check = Verifier(docs, text, idf, least, shingle)
     ordered = lambda a, b: (F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
     tried = cut(members.join(pivots, "k").where("key <> p.key").select(*ordered(F.col("key"), F.col("p.key"))).distinct(), "neardup-tried")
-    links = cut(check.links(tried), "neardup-links")
+    judged = check.judged(tried)
+    links = judged.where("linked").select("a", "b")
     apart = cut(_apart(members, components(links)), "neardup-apart")
     if not apart.isEmpty():
-        alone = check.unshared(cut(apart.select("key").distinct(), "neardup-keys"))
         gap = 1 - least + 1e-6
+        alone = check.unshared(cut(apart.select("key").distinct(), "neardup-keys"))
         alone = cut(alone.where((F.col("uw") <= gap * F.col("w")) | (F.col("u") <= gap * F.col("n"))), "neardup-unshared")
-        able = cut(apart.select("k", "key", "root").join(alone, "key"), "neardup-able")
-        pivots = cut(able.groupBy("k").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("share"), "key", "root")).alias("p")), "neardup-pivots")
-        more = able.join(pivots, "k").where("root <> p.root").select(*ordered(F.col("key"), F.col("p.key"))).distinct()
+        able = cut(apart.select("k", "key", "root").join(alone, "key").join(liked, "key").join(pivots.select("k", F.col("p.key").alias("first")), "k"), "neardup-able")
+        # the next two members that share most buckets meet those of other classes
+        head = F.max(F.struct("liked", "key", "root"))
+        second = cut(able.where("key <> first").groupBy("k").agg(head.alias("p2")), "neardup-second")
+        third = cut(able.join(second, "k").where("key <> first and key <> p2.key").groupBy("k").agg(head.alias("p3")), "neardup-third")
+        more = able.join(second, "k").select("key", "root", F.col("p2").alias("p")).unionAll(able.join(third, "k").select("key", "root", F.col("p3").alias("p")))
+        more = more.where("root <> p.root").select(*ordered(F.col("key"), F.col("p.key"))).distinct()
         more = cut(more.join(tried, ["a", "b"], "left_anti"), "neardup-tried")
-        links = cut(links.unionAll(check.links(more)), "neardup-links")
-        tried = tried.unionAll(more)
-        rest = cut(_apart(able.select("k", "key"), components(links)).join(alone, "key"), "neardup-rest")
+        links = cut(links.unionAll(check.judged(more).where("linked").select("a", "b")), "neardup-links")
+        rest = _apart(able.select("k", "key"), components(links)).join(able.select("k", "key", "n", "w", "u", "uw", "first"), ["k", "key"])
+        # what each shares with its bucket's first pivot; the pivot shares all
+        seen = judged.select("a", "b", F.col("n").alias("sn"), F.col("w").alias("sw"))
+        rest = rest.withColumns({"a": F.greatest("key", "first"), "b": F.least("key", "first")}).join(seen, ["a", "b"], "left")
+        rest = cut(rest.select("k", "key", "root", "size", "n", "w", "u", "uw", F.coalesce("sn", "n").alias("on"), F.coalesce("sw", "w").alias("ow")), "neardup-rest")
         main = cut(rest.groupBy("k").agg(F.max(F.struct("size", "root")).alias("main")), "neardup-main")
-        few = cut(rest.join(main, "k").where("root <> main.root").select("k", *[F.col(c).alias(f"{c}_x") for c in ("key", "root", "n", "w", "u", "uw")]), "neardup-few")
-        x = {c: F.col(f"{c}_x") for c in ("n", "w", "u", "uw")}
-        reach = lambda all_, own: F.least(x[all_] - x[own], F.col(all_) - F.col(own)) >= (least - 1e-6) * F.greatest(x[all_] + F.col(own), F.col(all_) + x[own])
-        last = few.join(rest, "k").where((F.col("root_x") != F.col("root")) & (reach("w", "uw") | reach("n", "u")))
-        last = cut(last.select(*ordered(F.col("key_x"), F.col("key"))).distinct().join(tried, ["a", "b"], "left_anti"), "neardup-tried")
-        links = cut(links.unionAll(check.links(last)), "neardup-links")
+        few = cut(rest.join(main, "k").where("root <> main.root").select("k", *[F.col(c).alias(f"{c}_x") for c in ("key", "root", "n", "w", "u", "uw", "on", "ow")]), "neardup-few")
+
+        def reach(all_: str, own: str, first: str) -> Column:
+            """Two texts share at most the smaller part of the pivot that they have, and the smaller part besides it that is shared with anyone."""
+            x, y = {c: F.col(f"{c}_x") for c in (all_, own, first)}, {c: F.col(c) for c in (all_, own, first)}
+            most = F.least(x[first], y[first]) + F.least(x[all_] - x[first] - x[own], y[all_] - y[first] - y[own])
+            return most >= (least - 1e-6) * (x[all_] + y[all_] - most)
+
+        last = few.join(rest, "k").where((F.col("root_x") != F.col("root")) & (reach("w", "uw", "ow") | reach("n", "u", "on")))
+        last = last.select(*ordered(F.col("key_x"), F.col("key"))).distinct()
+        last = cut(last.join(tried.unionAll(more), ["a", "b"], "left_anti"), "neardup-tried")
+        links = cut(links.unionAll(check.judged(last).where("linked").select("a", "b")), "neardup-links")
     roots = components(links)
     named = signs.select("doc_id", "key").join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
     named = cut(named, "neardup-named")
