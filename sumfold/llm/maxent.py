@@ -2,8 +2,9 @@
 
 Tokens are the words of a text in lower case (A-Z only) and one end. The softmax is
 factored by class: first the token's class, then the token in its class. Both factors are
-log-linear in hashed features of what stands before: the last word, the last two (n-gram
-features), and the words two and three back (skip features). In a class the most frequent
+log-linear in hashed features of what stands before: the last word and the last two (n-gram
+features), the word two back, and the class that holds most of the last WINDOW words, with
+its share (skip features). In a class the most frequent
 words are outcomes of their own; the others share one outcome and, in it, their smoothed
 relative frequencies, so every word and the unknown word have a probability and all add
 up to one. A further outcome of the first factor repeats the last word.
@@ -37,9 +38,9 @@ from sumfold.llm.common import cut
 END = b" "  # no word
 HEAD, UNITS = 1 << 18, 1 << 12
 CLASSES, MEMBERS = 16, 16  # outcomes of the two factors: 15 classes and the repetition; 15 words and the rest
-TABLE = (1 << 14, 1 << 15)  # feature rows of the two factors
-ROUNDS, RATE, DAMP, CHUNK, TASKS, FLUSH = 3, 0.4, 10.0, 1 << 14, 2048, 400_000
-USED = ([0, 1, 2, 3], [0, 2])  # features of the two factors: the last word, the last two, the words two and three back
+TABLE = (1 << 15, 1 << 15)  # feature rows of the two factors
+ROUNDS, RATE, DAMP, CHUNK, TASKS, FLUSH = 3, 0.6, 10.0, 1 << 14, 2048, 400_000
+USED, WINDOW = ([0, 1, 2, 3], [0, 3]), 48  # features of the two factors: the last word, the last two, the word two back, the window
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -165,14 +166,20 @@ class Batch:
         start = np.cumsum(self.n) - self.n
         at = np.arange(len(flat)) - np.repeat(start, self.n)
         before = lambda d: np.where(at >= d, np.concatenate([np.zeros(d, np.int64), seen[:-d]])[: len(seen)], h)
-        p1, p2, p3 = before(1), before(2), before(3)
+        p1, p2 = before(1), before(2)
+        upto = np.zeros((len(flat) + 1, CLASSES), np.int32)
+        upto[np.arange(1, len(flat) + 1), self.group] = 1
+        upto = np.cumsum(upto, axis=0)
+        here, room = np.arange(len(flat)), np.minimum(at, WINDOW)
+        held = upto[here] - upto[here - room]
+        window = np.where(at > 0, held.argmax(axis=1) * 8 + np.minimum(7, held.max(axis=1) * 8 // np.maximum(1, room)), -1)
         same = np.zeros(len(flat), bool)
         same[1:] = self.word[1:] == self.word[:-1]
         self.again = same & (at >= 1)
         for i in np.flatnonzero(self.again & (self.word < 0)):
             self.again[i] = flat[i] == flat[i - 1]
         mix = lambda x, k: (x.astype(np.uint64) + np.uint64(k * 0x10001)) * np.uint64(0x9E3779B97F4A7C15)
-        f = np.stack([mix(p1, 1), mix(p1, 2) ^ (mix(p2, 3) * np.uint64(0xBF58476D1CE4E5B9)), mix(p2, 4), mix(p3, 5)])
+        f = np.stack([mix(p1, 1), mix(p1, 2) ^ (mix(p2, 3) * np.uint64(0xBF58476D1CE4E5B9)), mix(p2, 4), mix(window, 5)])
         f ^= f >> np.uint64(32)
         self.f = f * np.uint64(0xD6E8FEB86659FD93)
 
