@@ -38,6 +38,14 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts for this session: at most `rows` rows, so that a Python worker holds a few MB of them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def crc_mod(col: str | Column, k: int) -> Column:
     """crc32 of the value as text, mod k; null for null."""
     c = F.col(col) if isinstance(col, str) else col

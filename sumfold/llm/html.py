@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sumfold.llm.common import small_batches
+
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset("head script style template title noscript iframe object video audio canvas svg noembed noframes datalist select".split())
@@ -365,6 +367,8 @@ def extract(html: str | None) -> str | None:
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages plus `text`. Row-local: rows and other columns are kept; an empty page gives an empty text."""
 
+    small_batches(pages.sparkSession)
+
     @F.pandas_udf("string")
     def of(s: pd.Series) -> pd.Series:
         return pd.Series([extract(x) for x in s], dtype="object")

@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sumfold.llm.common import small_batches
+
 BUCKETS, DIM, PER_LANG, CACHE, MOST_REJECTED = 1 << 16, 16, 600, 200_000, 0.4
 _letter = re.compile(r"[^\W\d_]")
 
@@ -30,13 +32,11 @@ def subwords(word: str, buckets: int = BUCKETS) -> list[int]:
 
 
 def _features(words: list[str], known: dict) -> tuple[np.ndarray, np.ndarray]:
-    ids: list[int] = []
     for w in words:
-        got = known.get(w)
-        if got is None:
-            got = known[w] = subwords(w)
-        ids += got
-    f, n = np.unique(np.array(ids, np.int64), return_counts=True)
+        if w not in known:
+            known[w] = np.array(subwords(w), np.int32)
+    ids = np.concatenate([known[w] for w in words]) if words else np.empty(0, np.int32)
+    f, n = np.unique(ids, return_counts=True)
     return f, (n / max(1, n.sum())).astype(np.float32)
 
 
@@ -98,6 +98,7 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5
         at = int(rng.integers(0, max(1, len(words) - 6)))
         if any(map(_letter.search, words[at : at + 8])):
             data.append((*_features(words[at : at + 8], known), y, j % kept_back == 0))
+    del known
     emb = rng.normal(0, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     w, b = np.zeros((DIM, len(names)), np.float32), np.zeros(len(names), np.float32)
     learn = [x for x in data if not x[3]] or data
@@ -153,6 +154,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Null texts and texts without a letter are `und`, score 0 and rejected. The model (4 bytes
     for each bucket and language) is broadcast.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang_pred string, lang_score double, lang_rejected boolean>")

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sumfold.llm.common import cut
+from sumfold.llm.common import cut, small_batches
 
 END = b" "  # no word
 HEAD, UNITS = 1 << 18, 1 << 12
@@ -303,6 +303,7 @@ class Model:
 
 def train(docs: DataFrame, keep: Column, doc_id: str = "doc_id", text: str = "text", head: int = HEAD, rounds: int = ROUNDS) -> Model:
     """Learn from the rows of docs for which keep holds. Null texts have just an end; repeated rows count each."""
+    small_batches(docs.sparkSession)
     used = docs.where(F.coalesce(keep, F.lit(False)))
     counts = cut(count_tokens(used, text), "lm-counts")
     v = vocabulary(counts, head)
@@ -320,6 +321,7 @@ def score(docs: DataFrame, model: Model, held_out: Column, doc_id: str = "doc_id
     base_score is the unigram model with half a count added to every word and to the unknown one.
     """
     v, spark = model.vocabulary, docs.sparkSession
+    small_batches(spark)
     sent = spark.sparkContext.broadcast((v, model.weights))
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("t"))
     names = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "again"]

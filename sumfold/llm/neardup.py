@@ -32,10 +32,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sumfold.llm.common import cut
+from sumfold.llm.common import cut, small_batches
 
 SHINGLE, SIMILARITY, BANDS, ROWS, DF_BITS = 5, 0.8, 10, 3, 20
-CHUNK, WORDS, BROADCAST_IDS = 1 << 14, 300_000, 500_000
+CHUNK, WORDS, BROADCAST_IDS = 1 << 13, 150_000, 500_000
 DF_BLOCK = 1 << 12
 
 
@@ -242,6 +242,7 @@ def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """One row for each row of docs: doc_id, text_key (md5, null for null), class_id (least doc_id of its class)."""
+    small_batches(docs.sparkSession)
     idf = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(docs, text, shingle))
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

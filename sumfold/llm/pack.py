@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sumfold.llm.common import cut
+from sumfold.llm.common import cut, small_batches
 
 CAPACITY, RANKED = 2048, 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -84,6 +84,8 @@ def encoder(path: str) -> Encoder:
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", end: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's pieces: its ids, then `end`. Only longer ones are cut; the first piece takes the remainder. Null text: empty."""
 
+    small_batches(docs.sparkSession)
+
     def cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         for pdf in batches:

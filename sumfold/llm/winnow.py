@@ -18,7 +18,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sumfold.llm.common import partitions
+from sumfold.llm.common import partitions, small_batches
 
 K, W = 24, 41
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -114,12 +114,13 @@ def successor_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str =
     after it, so no task sees more than its range and one row.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n = partitions(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = rows.withColumn("key", F.coalesce("i", F.lit(-(1 << 63))))
     at = [(j + 1) / n for j in range(n - 1)]
     cuts = rows.agg(F.percentile_approx("key", at, 10_000).alias("c")).first().c if at else []
-    splits = [-float("inf"), *sorted({float(c) for c in cuts or []}), float("inf")]
+    splits = [-float("inf"), *sorted({float(c) for c in cuts or [0]}), float("inf")]
     by = Bucketizer(splits=splits, inputCol="d", outputCol="b")
 
     def dealt(df: DataFrame) -> DataFrame:
