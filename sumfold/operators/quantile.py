@@ -108,7 +108,7 @@ class TDigest:
                 out.insert(0, k, [pdf[k].iloc[0]])
             return out
 
-        grouped = self.df.groupBy(*keys) if keys else self.df.groupBy(F.lit(0))
+        grouped = self.df.groupBy(*keys) if keys else self.df.groupBy(F.lit("all"))
         return TDigest(grouped.applyInPandas(merge, schema), keys, compression)
 
     def combine(self, *others: TDigest) -> TDigest:
