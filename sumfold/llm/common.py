@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: str | None = None
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,15 +30,25 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write df once to the shared folder and read it back, so that lineage ends here.
 
-    Only slim tables (ids, counts, signatures) go through this; files stay until the
-    folder is cleaned.
+    Only slim tables (ids, counts, signatures) go through this; files stay until sweep().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> int:
+    """Delete what cut() has written in this process; call it when the results that build on it are stored. Returns how many tables went."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in (gone := list(_written)):
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    _written.clear()
+    return len(gone)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of whole texts for this session: at most `rows` rows, so that a Python worker holds a few MB of them."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
