@@ -54,6 +54,15 @@ class BloomFilter(Sketch):
         held = held.groupBy(*self.keys, "_item").agg((F.count("_hit") == F.count(F.lit(1))).alias(name))
         return df.join(held.withColumnRenamed("_item", item), [*self.keys, item], "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
+    def holders(self, df: DataFrame, item: str) -> DataFrame:
+        """(keys, item): the groups whose filter may hold each distinct item of df. Groups and items meet on their bits, never all with all."""
+        bits, hashes = self.params["bits"], self.params["hashes"]
+        asked = df.where(F.col(item).isNotNull()).select(F.col(item).alias("_item")).distinct()
+        need = asked.select("_item", F.array_distinct(positions(F.col("_item"), bits, hashes)).alias("_bits"))
+        hits = need.select("_item", F.size("_bits").alias("_need"), F.explode("_bits").alias("bit")).join(self.df, "bit")
+        full = hits.groupBy(*self.keys, "_item", "_need").agg(F.count("*").alias("_n")).where("_n = _need")
+        return full.select(*self.keys, F.col("_item").alias(item))
+
     def saturation(self) -> DataFrame:
         """bits set, saturation, and two estimates of the false-positive rate: by saturation as load, and by set bits."""
         m, k = self.params["bits"], self.params["hashes"]

@@ -132,9 +132,7 @@ def bloom_merge_saturation(spark, d):
 def bloom_user_days(spark, d):
     e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
     f = bloom.BloomFilter.build(e, "user_id", ("day",), 200, 0.01)
-    days = e.select("day").distinct()
-    asked = e.select("user_id").distinct().join(F.broadcast(days), F.col("day").isNotNull())  # a row for each day, of which there are few
-    return f.probe(asked, "user_id").where("maybe").groupBy("user_id").agg(F.count("*").alias("days"))
+    return f.holders(e.select("user_id"), "user_id").groupBy("user_id").agg(F.count("*").alias("days"))
 
 
 _W, _D = 272, 5

@@ -103,6 +103,12 @@ class TestBloom:
         share = {r.truly: r.share for r in got}
         assert share[True] == 1.0 and share[False] <= most
 
+    def test_holders(self, spark):
+        rows = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "y"), ("b", None)], "k string, x string")
+        f = bloom.BloomFilter.build(rows, "x", ("k",), 100, 0.001)
+        got = f.holders(spark.createDataFrame([("x",), ("y",), ("z",), (None,)], "x string"), "x")
+        assert sorted(map(tuple, got.collect())) == [("a", "x"), ("a", "y"), ("b", "y")]
+
     def test_merge_and_saturation(self, spark):
         a, b = (bloom.BloomFilter.build(items(spark, 100, s), "x", (), 500) for s in (0, 50))
         assert (a + b).equals(bloom.BloomFilter.build(items(spark, 150), "x", (), 500))
