@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sumfold.operators import minhash
+from sumfold.operators import knn, minhash
+
+BLOCK = 10_000
 
 
 def bands_and_rows(threshold: float, num_perm: int) -> tuple[int, int]:
@@ -82,15 +86,14 @@ class MinHashLSH:
 def most_similar(index: DataFrame, asked: DataFrame, k: int, prefix_bits: int | None = None) -> DataFrame:
     """The k most similar sets (query, rank, key, similarity), ties by key.
 
-    index: (key, sig); asked: (query, sig), a stated query set that is broadcast after a check of its size.
-    Without prefix_bits every set is compared. With them only sets are that share the leading bits of some
-    place with the query, by an equi-join.
+    index: (key, sig); asked: (query, sig). Without prefix_bits every set is compared with a broadcast block
+    of the queries at a time. With them only sets are that share the leading bits of some place with the
+    query, by an equi-join.
     """
     q = asked.select("query", F.col("sig").alias("_q"))
     if prefix_bits is None:
-        if q.count() > 10_000:
-            raise ValueError("ask in blocks of at most 10000 queries, or give prefix_bits")
-        sims = index.join(F.broadcast(q))
+        parts = [index.join(F.broadcast(part)) for part in knn.blocks(q, BLOCK)]
+        sims = reduce(lambda a, b: a.unionAll(b), parts)
     else:
         cells = lambda df, key: df.select(key, F.posexplode(F.transform("sig", lambda h: F.shiftright(h, 32 - prefix_bits))).alias("pos", "lead"))
         hits = cells(asked, "query").join(cells(index, "key"), ["pos", "lead"]).select("query", "key").distinct()

@@ -112,6 +112,14 @@ def test_nearest(spark, name):
     assert knn.federated(halves, asked, 5, lambda a, b: F.round(knn.DISTANCES[name](a, b), 9)).orderBy("rank").collect() == got
 
 
+def test_queries_in_blocks(spark, monkeypatch):
+    g = grid(spark)
+    asked = g.limit(25).select(F.col("key").alias("query"), "v")
+    one = sorted(map(tuple, knn.nearest(g, asked, 3).collect()))
+    monkeypatch.setattr(knn, "BLOCK", 7)
+    assert len(knn.blocks(asked, 7)) == 4 and sorted(map(tuple, knn.nearest(g, asked, 3).collect())) == one
+
+
 def test_approximate_index(spark):
     index = knn.ApproximateIndex(grid(spark), 4.0, 8)
     asked = spark.createDataFrame([("q", [4.0, 6.0])], "query string, v array<double>")
