@@ -71,7 +71,9 @@ def maxscore(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, rows: np.nda
         terms = np.argsort(lower - upper, kind="stable")
         rest = np.concatenate([np.cumsum(upper[terms][::-1])[::-1], [0]])  # most that terms from here on can add
         qk, least = q.astype(kind), best.floor(j)
-        mid = d if least is None else d // 2  # essential terms: without them no row is told from the rest
+        mid = d if least is None else int(np.argmax(rest < least)) if (rest < least).any() else d  # the terms from here on cannot reach the k-th best alone
+        if mid == 0:
+            continue  # nor can all of them
         score = qk[terms[:mid]] @ x[terms[:mid]]
         read += mid * len(ids)
         live = None
