@@ -278,13 +278,16 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
         more = more.where("root <> p.root").select(*ordered(F.col("key"), F.col("p.key"))).distinct()
         more = cut(more.join(tried, ["a", "b"], "left_anti"), "neardup-tried")
         links = cut(links.unionAll(check.judged(more).where("linked").select("a", "b")), "neardup-links")
-        rest = _apart(able.select("k", "key"), components(links)).join(able.select("k", "key", "n", "w", "u", "uw", "first"), ["k", "key"])
-        # what each shares with its bucket's first pivot; the pivot shares all
+        # buckets of one pivot make one group, so a pair that shares several of them is looked at once
+        grouped = cut(able.select(F.col("first").alias("k"), "key", "n", "w", "u", "uw").distinct(), "neardup-grouped")
+        rest = _apart(grouped.select("k", "key"), components(links)).join(grouped, ["k", "key"])
+        # what each shares with its pivot; the pivot shares all
         seen = judged.select("a", "b", F.col("n").alias("sn"), F.col("w").alias("sw"))
-        rest = rest.withColumns({"a": F.greatest("key", "first"), "b": F.least("key", "first")}).join(seen, ["a", "b"], "left")
+        rest = rest.withColumns({"a": F.greatest("key", "k"), "b": F.least("key", "k")}).join(seen, ["a", "b"], "left")
         rest = cut(rest.select("k", "key", "root", "size", "n", "w", "u", "uw", F.coalesce("sn", "n").alias("on"), F.coalesce("sw", "w").alias("ow")), "neardup-rest")
         main = cut(rest.groupBy("k").agg(F.max(F.struct("size", "root")).alias("main")), "neardup-main")
-        few = cut(rest.join(main, "k").where("root <> main.root").select("k", *[F.col(c).alias(f"{c}_x") for c in ("key", "root", "n", "w", "u", "uw", "on", "ow")]), "neardup-few")
+        few = rest.join(main, "k").where("root <> main.root").select("k", F.col("main.root").alias("main"), *[F.col(c).alias(f"{c}_x") for c in ("key", "root", "n", "w", "u", "uw", "on", "ow")])
+        few = cut(few, "neardup-few")
 
         def reach(all_: str, own: str, first: str) -> Column:
             """Two texts share at most the smaller part of the pivot that they have, and the smaller part besides it that is shared with anyone."""
@@ -292,7 +295,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
             most = F.least(x[first], y[first]) + F.least(x[all_] - x[first] - x[own], y[all_] - y[first] - y[own])
             return most >= (least - 1e-6) * (x[all_] + y[all_] - most)
 
-        last = few.join(rest, "k").where((F.col("root_x") != F.col("root")) & (reach("w", "uw", "ow") | reach("n", "u", "on")))
+        last = few.join(rest, "k").where((F.col("root_x") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("key_x") > F.col("key"))) & (reach("w", "uw", "ow") | reach("n", "u", "on")))
         last = last.select(*ordered(F.col("key_x"), F.col("key"))).distinct()
         last = cut(last.join(tried.unionAll(more), ["a", "b"], "left_anti"), "neardup-tried")
         links = cut(links.unionAll(check.judged(last).where("linked").select("a", "b")), "neardup-links")
