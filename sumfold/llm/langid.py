@@ -15,28 +15,32 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumfold.llm.common import small_batches
 
-BUCKETS, DIM, PER_LANG, CACHE, MOST_REJECTED = 1 << 16, 16, 600, 200_000, 0.4
+BUCKETS, DIM, PER_LANG, CACHE, STEP, MOST_REJECTED = 1 << 16, 16, 600, 200_000, 20_000, 0.4
 _letter = re.compile(r"[^\W\d_]")
 
 
-def subwords(word: str, buckets: int = BUCKETS) -> list[int]:
-    """Buckets of the word's 2- to 4-grams with boundaries."""
-    w = f"<{word[:64]}>"
-    return [xxhash.xxh32_intdigest(w[i : i + n]) % buckets for n in (2, 3, 4) for i in range(len(w) - n + 1)]
+def subwords(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words' 2- to 4-grams with boundaries, word after word, and how many each word has."""
+    size = np.array([min(len(w), 64) + 2 for w in words])
+    x = np.frombuffer("".join([f"<{w[:64]}>" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    start = np.cumsum(size) - size
+    left = np.repeat(size + start, size) - np.arange(len(x))  # characters up to the word's end
+    h, ids, fits = x, np.zeros((len(x), 3), np.int32), np.empty((len(x), 3), bool)
+    for j, n in enumerate((2, 3, 4)):
+        h = h[:-1] * np.uint64(0x100000001B3) + x[n - 1 :]
+        m = (h ^ (h >> np.uint64(23))) * np.uint64(0x9E3779B97F4A7C15)
+        ids[: len(h), j] = (m >> np.uint64(32)) % np.uint64(buckets)
+        fits[:, j] = left >= n
+    return ids[fits], np.add.reduceat(fits.sum(axis=1), start)
 
 
-def _features(words: list[str], known: dict) -> tuple[np.ndarray, np.ndarray]:
-    for w in words:
-        if w not in known:
-            known[w] = np.array(subwords(w), np.int32)
-    ids = np.concatenate([known[w] for w in words]) if words else np.empty(0, np.int32)
-    f, n = np.unique(ids, return_counts=True)
+def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    f, n = np.unique(subwords(words)[0] if words else np.empty(0, np.int32), return_counts=True)
     return f, (n / max(1, n.sum())).astype(np.float32)
 
 
@@ -55,12 +59,11 @@ class WordTable:
         """For each list of words: the summed scores, then the number of subwords."""
         if len(self.index) > CACHE:
             self.index, self.rows = {}, self.rows[:0]
-        new = list({w for ws in words for w in ws if w not in self.index})
-        if new:
-            ids = [subwords(w, len(self.table)) for w in new]
-            n = np.array([len(x) for x in ids])
-            flat = self.table[np.concatenate(ids)]
-            rows = np.add.reduceat(flat, np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0)
+        fresh = list({w for ws in words for w in ws if w not in self.index})
+        for a in range(0, len(fresh), STEP):
+            new = fresh[a : a + STEP]
+            ids, n = subwords(new, len(self.table))
+            rows = np.add.reduceat(self.table[ids], np.cumsum(n) - n, axis=0)
             self.index.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
             self.rows = np.concatenate([self.rows, np.column_stack([rows, n]).astype(np.float32)])
         get = self.index.__getitem__
@@ -88,17 +91,16 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5
     names = sorted(set(langs))
     if not names:
         raise ValueError("no labelled text to learn from")
-    rng, known, data = np.random.default_rng(seed), {}, []
+    rng, data = np.random.default_rng(seed), []
     for j, (t, lang) in enumerate(zip(texts, langs, strict=True)):
         words = t.lower().split()
         if not _letter.search(t):
             continue
         y = names.index(lang)
-        data.append((*_features(words, known), y, j % kept_back == 0))
+        data.append((*_features(words), y, j % kept_back == 0))
         at = int(rng.integers(0, max(1, len(words) - 6)))
         if any(map(_letter.search, words[at : at + 8])):
-            data.append((*_features(words[at : at + 8], known), y, j % kept_back == 0))
-    del known
+            data.append((*_features(words[at : at + 8]), y, j % kept_back == 0))
     emb = rng.normal(0, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     w, b = np.zeros((DIM, len(names)), np.float32), np.zeros(len(names), np.float32)
     learn = [x for x in data if not x[3]] or data
@@ -163,8 +165,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         seen = WordTable(m.table)
         for s in batches:
             texts, parts = [None if x is None else x for x in s], []
-            for a in range(0, len(texts), 256):
-                names, p = m.predict(texts[a : a + 256], seen)
+            for a in range(0, len(texts), 128):
+                names, p = m.predict(texts[a : a + 128], seen)
                 parts.append(pd.DataFrame({"lang_pred": names, "lang_score": p, "lang_rejected": [n == "und" or x < m.least for n, x in zip(names, p, strict=True)]}))
             yield pd.concat(parts) if parts else pd.DataFrame({"lang_pred": pd.Series([], dtype=object), "lang_score": pd.Series([], dtype=float), "lang_rejected": pd.Series([], dtype=bool)})
 
