@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html import unescape  # the standard library's
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame
