@@ -167,12 +167,15 @@ class Batch:
         at = np.arange(len(flat)) - np.repeat(start, self.n)
         before = lambda d: np.where(at >= d, np.concatenate([np.zeros(d, np.int64), seen[:-d]])[: len(seen)], h)
         p1, p2 = before(1), before(2)
-        upto = np.zeros((len(flat) + 1, CLASSES), np.int32)
-        upto[np.arange(1, len(flat) + 1), self.group] = 1
-        upto = np.cumsum(upto, axis=0)
-        here, room = np.arange(len(flat)), np.minimum(at, WINDOW)
-        held = upto[here] - upto[here - room]
-        window = np.where(at > 0, held.argmax(axis=1) * 8 + np.minimum(7, held.max(axis=1) * 8 // np.maximum(1, room)), -1)
+        upto = np.zeros((CLASSES, len(flat) + 1), np.int32)
+        upto[self.group, np.arange(1, len(flat) + 1)] = 1
+        np.cumsum(upto, axis=1, out=upto)
+        room = np.minimum(at, WINDOW)
+        held = upto[:, :-1] - upto.take(np.arange(len(flat)) - room, axis=1)
+        held *= CLASSES
+        held += np.arange(CLASSES - 1, -1, -1, dtype=np.int32)[:, None]
+        most = held.max(axis=0)  # a count and, in its last digit, the least class that reaches it
+        window = np.where(at > 0, (CLASSES - 1 - most % CLASSES) * 8 + np.minimum(7, most // CLASSES * 8 // np.maximum(1, room)), -1)
         same = np.zeros(len(flat), bool)
         same[1:] = self.word[1:] == self.word[:-1]
         self.again = same & (at >= 1)
