@@ -1,7 +1,8 @@
 """Language identification: averaged hashed subword embeddings and a linear softmax.
 
 Words (lower case, split at white space) are cut into character n-grams with word
-boundaries, hashed into buckets; a text is the average of its buckets' embeddings. The
+boundaries, hashed into buckets; a text is the average of its buckets' embeddings. Words
+count whole, whatever their length, so a text without spaces is judged on all of it. The
 model is trained by stochastic gradient descent in numpy on a bounded sample for each
 language (`per_lang` texts, whole), then a temperature is fitted on a part held back, and
 texts below a calibrated probability are rejected.
@@ -20,28 +21,46 @@ from pyspark.sql import functions as F
 
 from sumfold.llm.common import small_batches
 
-BUCKETS, DIM, PER_LANG, CACHE, STEP, MOST_REJECTED = 1 << 16, 16, 600, 200_000, 20_000, 0.4
+BUCKETS, DIM, PER_LANG, CACHE, MOST_REJECTED = 1 << 16, 16, 600, 200_000, 0.4
+KEPT, PIECE, BLOCK = 64, 4096, 1 << 20  # characters of a word that is kept, of a piece of a word, hashed at once
 _letter = re.compile(r"[^\W\d_]")
 
 
-def subwords(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the words' 2- to 4-grams with boundaries, word after word, and how many each word has."""
-    size = np.array([min(len(w), 64) + 2 for w in words])
-    x = np.frombuffer("".join([f"<{w[:64]}>" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def pieces(word: str) -> list[tuple[str, int]]:
+    """The word with its boundaries, cut where it is long: texts that overlap by three characters, and how many n-grams may start in each."""
+    s = f"<{word}>"
+    return [(s[a : a + PIECE + 3], min(PIECE, len(s) - a)) for a in range(0, len(s) - 1, PIECE)]
+
+
+def blocks(parts: list[tuple[str, int]]) -> Iterator[list[tuple[str, int]]]:
+    """The parts in runs of about BLOCK characters, so that memory does not follow the length of the texts."""
+    ends = np.cumsum([len(s) for s, _ in parts]) // BLOCK
+    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(parts)]
+    return (parts[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if a < b)
+
+
+def subwords(parts: list[tuple[str, int]], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the 2- to 4-grams that start in the parts' own characters, part after part, and how many each part has."""
+    size, own = np.array([len(s) for s, _ in parts]), np.array([n for _, n in parts])
+    x = np.frombuffer("".join([s for s, _ in parts]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     start = np.cumsum(size) - size
-    left = np.repeat(size + start, size) - np.arange(len(x))  # characters up to the word's end
+    at = np.arange(len(x)) - np.repeat(start, size)
+    left, mine = np.repeat(size, size) - at, at < np.repeat(own, size)  # left: characters up to the part's end
     h, ids, fits = x, np.zeros((len(x), 3), np.int32), np.empty((len(x), 3), bool)
     for j, n in enumerate((2, 3, 4)):
         h = h[:-1] * np.uint64(0x100000001B3) + x[n - 1 :]
         m = (h ^ (h >> np.uint64(23))) * np.uint64(0x9E3779B97F4A7C15)
         ids[: len(h), j] = (m >> np.uint64(32)) % np.uint64(buckets)
-        fits[:, j] = left >= n
+        fits[:, j] = (left >= n) & mine
     return ids[fits], np.add.reduceat(fits.sum(axis=1), start)
 
 
 def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    f, n = np.unique(subwords(words)[0] if words else np.empty(0, np.int32), return_counts=True)
-    return f, (n / max(1, n.sum())).astype(np.float32)
+    n = np.zeros(BUCKETS, np.int64)
+    for block in blocks([p for w in words for p in pieces(w)]):
+        n += np.bincount(subwords(block)[0], minlength=BUCKETS)
+    f = np.flatnonzero(n)
+    return f, (n[f] / max(1, n.sum())).astype(np.float32)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -50,24 +69,33 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 class WordTable:
-    """Summed scores and subword counts of the words seen so far in a task, dropped when they outgrow CACHE."""
+    """Summed scores and subword counts of the words seen so far in a task, dropped when they outgrow CACHE. Words beyond KEPT characters are summed anew each time."""
 
     def __init__(self, table: np.ndarray):
         self.table, self.index, self.rows = table, {}, np.empty((0, table.shape[1] + 1), np.float32)
 
+    def _scored(self, parts: list[tuple[str, int]]) -> np.ndarray:
+        """A row for each part: the summed scores, then the number of subwords."""
+        out = [np.empty((0, self.table.shape[1] + 1), np.float32)]
+        for block in blocks(parts):
+            ids, n = subwords(block, len(self.table))
+            out.append(np.column_stack([np.add.reduceat(self.table[ids], np.cumsum(n) - n, axis=0), n]).astype(np.float32))
+        return np.concatenate(out)
+
     def sums(self, words: list[list[str]]) -> np.ndarray:
         """For each list of words: the summed scores, then the number of subwords."""
         if len(self.index) > CACHE:
             self.index, self.rows = {}, self.rows[:0]
-        fresh = list({w for ws in words for w in ws if w not in self.index})
-        for a in range(0, len(fresh), STEP):
-            new = fresh[a : a + STEP]
-            ids, n = subwords(new, len(self.table))
-            rows = np.add.reduceat(self.table[ids], np.cumsum(n) - n, axis=0)
-            self.index.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
-            self.rows = np.concatenate([self.rows, np.column_stack([rows, n]).astype(np.float32)])
+        fresh = list({w for ws in words for w in ws if len(w) <= KEPT and w not in self.index})
+        self.index.update(zip(fresh, range(len(self.rows), len(self.rows) + len(fresh)), strict=True))
+        self.rows = np.concatenate([self.rows, self._scored([(f"<{w}>", len(w) + 2) for w in fresh])])
         get = self.index.__getitem__
-        return np.array([self.rows[list(map(get, ws))].sum(axis=0, dtype=np.float64) if ws else np.zeros(self.rows.shape[1]) for ws in words])
+        short = [[w for w in ws if len(w) <= KEPT] for ws in words]
+        out = np.array([self.rows[list(map(get, ws))].sum(axis=0, dtype=np.float64) if ws else np.zeros(self.rows.shape[1]) for ws in short])
+        for i, ws in enumerate(words):
+            if len(short[i]) < len(ws):
+                out[i] += self._scored([p for w in ws if len(w) > KEPT for p in pieces(w)]).sum(axis=0, dtype=np.float64)
+        return out
 
 
 @dataclass

@@ -50,3 +50,20 @@ def test_fit_uses_labelled_rows_only(spark):
 def test_nothing_to_learn_from(spark):
     with pytest.raises(ValueError):
         langid.fit(frame(spark, []))
+
+
+def test_long_words_count_whole(model, monkeypatch):
+    rng = random.Random(5)
+    tail = text("fr", 300, rng).replace(" ", "")
+    seen = langid.WordTable(model.table)
+    names, p = model.predict([tail, "sch" * 22 + tail], seen)
+    assert names == ["fr", "fr"] and not seen.index  # the first 66 characters alone are German
+    words = [tail, "und", "x" * 64, "y" * 65]
+    whole, scores = langid._features(words), langid.WordTable(model.table).sums([words, [], ["und"]])
+    grams = sum(len(w) + 3 - n for w in words for n in (2, 3, 4))
+    assert scores[0, -1] == grams and scores[1, -1] == 0
+    for piece, block in ((7, 50), (1, 1)):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        monkeypatch.setattr(langid, "BLOCK", block)
+        assert all((a == b).all() for a, b in zip(langid._features(words), whole, strict=True))
+        assert langid.WordTable(model.table).sums([words, [], ["und"]]) == pytest.approx(scores, rel=1e-4, abs=1e-3)
