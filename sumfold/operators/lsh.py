@@ -1,4 +1,4 @@
-"""Locality-sensitive indexes as similarity joins: banded MinHash, top-k search and size-partitioned containment."""
+"""Locality-sensitive indexes as similarity joins: banded MinHash, top-k search, containment by bands and, exactly, by an inverted index."""
 
 from __future__ import annotations
 
@@ -116,7 +116,8 @@ def containment_candidates(index: DataFrame, asked: DataFrame, threshold: float,
 
     index: (key, sig, size); asked: (query, sig, size). A set smaller than threshold * |query| cannot contain
     it and is left out before signatures are compared. containment follows from the Jaccard estimate j:
-    j (1 + |x| / |q|) / (1 + j).
+    j (1 + |x| / |q|) / (1 + j). Candidates share a band, so sets much larger than the query, whose Jaccard
+    similarity is small, are mostly missed; overlaps finds them all.
     """
     b, r = params or bands_and_rows(threshold / 2, num_perm)
     left = asked.select("query", F.col("size").alias("_qs"), F.inline(band_keys(F.col("sig"), b, r)))
@@ -128,6 +129,18 @@ def containment_candidates(index: DataFrame, asked: DataFrame, threshold: float,
     return sims.select("query", "key", "jaccard_score", F.least(F.lit(1.0), j * (1 + F.col("_ks") / F.col("_qs")) / (1 + j)).alias("containment")).where(F.col("containment") >= threshold)
 
 
+def overlaps(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query, key, jaccard_score, containment), both exact, of all pairs that share an item.
+
+    index: (key, words); asked: (query, words); words are distinct. Shared items are counted through an inverted
+    index, so only sets that share one meet.
+    """
+    left = asked.select("query", F.size("words").alias("_qs"), F.explode("words").alias("_item"))
+    right = index.select("key", F.size("words").alias("_ks"), F.explode("words").alias("_item"))
+    n = left.join(right, "_item").groupBy("query", "key", "_qs", "_ks").agg(F.count("*").alias("_n"))
+    return n.select("query", "key", (F.col("_n") / (F.col("_qs") + F.col("_ks") - F.col("_n"))).alias("jaccard_score"), (F.col("_n") / F.col("_qs")).alias("containment"))
+
+
 def exact_containment(query: Column, other: Column) -> Column:
     """Share of the query's items that the other array has."""
     return F.when(F.size(query) == 0, 0.0).otherwise(F.size(F.array_intersect(query, other)) / F.size(query))

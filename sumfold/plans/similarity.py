@@ -170,8 +170,8 @@ def containment_search(spark, d):
 
 @query()
 def containment_ensemble(spark, d):
-    docs = _signed(_docs(spark, d)).withColumn("size", F.size("words").cast("long"))
-    return lsh.containment_candidates(docs, _benchmark(spark, d), 0.4, PERMS)
+    """Documents of any size that hold 0.4 or more of an item's words: all of them, with exact figures."""
+    return lsh.overlaps(_docs(spark, d), _benchmark(spark, d)).where("containment >= 0.4")
 
 
 @query(f"""

@@ -128,3 +128,14 @@ def test_approximate_index(spark):
     assert index.insert(more).search(asked, 2, 3.0).count() == 2 and index.stats().count() == 8
     with pytest.raises(ValueError):
         index.insert(grid(spark).limit(1))
+
+
+def test_containment_ensemble_finds_long_documents(spark, tmp_path):
+    from sumfold.plans import registry
+
+    item = [f"w{i}" for i in range(20)]
+    texts = {1: item + [f"z{i}" for i in range(3000)], 2: item[:8] + [f"y{i}" for i in range(900)], 3: item[:7] + ["x"], 4: item, 5: []}
+    spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(item)), (8, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.query, r.key): (r.containment, round(r.jaccard_score, 9)) for r in registry.queries()["containment_ensemble"](spark, str(tmp_path)).collect()}
+    assert got == {(7, 1): (1.0, round(20 / 3020, 9)), (7, 2): (0.4, round(8 / 920, 9)), (7, 4): (1.0, 1.0)}
