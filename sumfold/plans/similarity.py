@@ -137,6 +137,41 @@ def lsh_remove_merge(spark, d):
     return sum(parts).remove(toxic).pairs().withColumn("similarity", F.round("similarity", 8))
 
 
+def _exact_sql(words: str, least: float) -> str:
+    """Pairs of the different sets of (key, words) by exact Jaccard similarity, then copies with their least key."""
+    return f"""
+        WITH w AS (SELECT key, list_sort(words) AS words, length(words) AS n FROM ({words}) WHERE length(words) > 0), h AS (SELECT min(key) AS key, words, any_value(n) AS n FROM w GROUP BY words),
+        c AS (SELECT key, n, unnest(words) AS i FROM h), p AS (SELECT x.key AS a, y.key AS b, count(*) / (any_value(x.n) + any_value(y.n) - count(*))::DOUBLE AS j FROM c x JOIN c y ON x.i = y.i AND x.key < y.key GROUP BY 1, 2)
+        SELECT a, b, round(j, 8) AS similarity FROM p WHERE j >= {least} UNION ALL SELECT h.key, w.key, 1.0::DOUBLE FROM h JOIN w USING (words) WHERE h.key <> w.key
+    """
+
+
+_SETS = f"SELECT doc_id AS key, {_WORDS} AS words FROM documents"
+
+
+@query(f"""
+    WITH q AS (SELECT item_id AS query, {_WORDS} AS qw FROM benchmark), k AS (SELECT doc_id AS key, {_WORDS} AS kw FROM documents),
+    x AS (SELECT query, key, length(list_intersect(qw, kw)) AS n, length(qw) + length(kw) AS t FROM q JOIN k ON true)
+    SELECT query, key, round(n / (t - n)::DOUBLE, 8) AS similarity FROM x WHERE n > 0 AND n / (t - n)::DOUBLE >= 0.1
+""")
+def exact_query(spark, d):
+    """All documents of similarity 0.1 or more to an item, which the bands of lsh_query mostly miss."""
+    return lsh.overlaps(_docs(spark, d), _benchmark(spark, d)).where("jaccard_score >= 0.1").select("query", "key", F.round("jaccard_score", 8).alias("similarity"))
+
+
+@query(_exact_sql(_SETS, 0.5))
+def exact_similar_pairs(spark, d):
+    """All pairs of similarity 0.5 or more, of which the bands of lsh_pairs miss a part."""
+    return lsh.exact_pairs(_docs(spark, d), 0.5).withColumn("similarity", F.round("similarity", 8))
+
+
+@query(_exact_sql(_SETS + " WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)", 0.3))
+def exact_pairs_without_toxic(spark, d):
+    """All pairs of similarity 0.3 or more without the toxic documents, which the bands of lsh_remove_merge mostly miss."""
+    toxic = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("key"))
+    return lsh.exact_pairs(_docs(spark, d).join(toxic, "key", "left_anti"), 0.3).withColumn("similarity", F.round("similarity", 8))
+
+
 @query(f"WITH s AS ({_sigs()}), k AS ({_BAND}), g AS (SELECT band, band_key, count(*) AS n FROM k GROUP BY ALL) SELECT {_B} AS bands, {_R} AS rows, count(*) AS buckets, round(avg(n), 8) AS avg_bucket, max(n) AS max_bucket FROM g")
 def lsh_stats(spark, d):
     return lsh.MinHashLSH(_signed(_docs(spark, d)), 0.5, PERMS, (_B, _R)).stats().withColumn("avg_bucket", F.round("avg_bucket", 8))

@@ -139,3 +139,30 @@ def test_containment_ensemble_finds_long_documents(spark, tmp_path):
     spark.createDataFrame([(7, " ".join(item)), (8, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {(r.query, r.key): (r.containment, round(r.jaccard_score, 9)) for r in registry.queries()["containment_ensemble"](spark, str(tmp_path)).collect()}
     assert got == {(7, 1): (1.0, round(20 / 3020, 9)), (7, 2): (0.4, round(8 / 920, 9)), (7, 4): (1.0, 1.0)}
+
+
+def test_exact_pairs(spark):
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(40)]
+    rows = [(i, sorted({*base[: rng.integers(1, 40)], *(f"r{rng.integers(0, 60)}" for _ in range(rng.integers(0, 30)))})) for i in range(60)]
+    rows += [(100 + i, list(rows[5][1])) for i in range(4)] + [(200, []), (201, [])]
+    df, words = sets(spark, [(f"{k:03d}", w) for k, w in rows]), dict(rows)
+    first = {k: min(j for j in words if words[j] == w) for k, w in words.items() if w}
+    heads, copies = sorted(set(first.values())), {(j, k): 1.0 for k, j in first.items() if j != k}
+    for t in (0.1, 0.3, 0.5, 0.8, 1.0):
+        sim = {(a, b): len({*words[a]} & {*words[b]}) / len({*words[a]} | {*words[b]}) for a in heads for b in heads if a < b}
+        want = {p: s for p, s in sim.items() if s >= t} | copies
+        assert (5, 103) in want
+        got = lsh.exact_pairs(df, t).collect()
+        assert len(got) == len(want) and {(int(r.a), int(r.b)): r.similarity for r in got} == pytest.approx(want)
+
+
+def test_exact_query_finds_links_at_the_threshold(spark, tmp_path):
+    from sumfold.plans import registry
+
+    item = [f"w{i}" for i in range(11)]
+    texts = [(i, " ".join([*item[:2], *(f"z{i}_{j}" for j in range(9))])) for i in range(30)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = registry.queries()["exact_query"](spark, str(tmp_path)).collect()
+    assert {(r.query, r.key) for r in got} == {(7, i) for i in range(30)} and {r.similarity for r in got} == {0.1}
