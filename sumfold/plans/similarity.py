@@ -309,3 +309,10 @@ def plagiarism_pairs(spark, d):
     docs = docs.select("key", _shingles(F.col("w")).alias("words"))
     index = lsh.MinHashLSH(_signed(docs), 0.8, PERMS, (16, 2))
     return index.pairs().withColumn("similarity", F.round("similarity", 8))
+
+
+@query(_exact_sql(f"SELECT doc_id AS key, x AS words FROM {_FIVES}", 0.8))
+def plagiarism_exact(spark, d):
+    """All near copies by runs of five words at an exact similarity of 0.8 or more; every exact copy stands with the first of its equals."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.filter(F.split(F.lower("text"), " "), lambda v: F.length(v) > 0).alias("w"))
+    return lsh.exact_pairs(docs.select("key", _shingles(F.col("w")).alias("words")), 0.8).withColumn("similarity", F.round("similarity", 8))

@@ -166,3 +166,15 @@ def test_exact_query_finds_links_at_the_threshold(spark, tmp_path):
     spark.createDataFrame([(7, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = registry.queries()["exact_query"](spark, str(tmp_path)).collect()
     assert {(r.query, r.key) for r in got} == {(7, i) for i in range(30)} and {r.similarity for r in got} == {0.1}
+
+
+def test_plagiarism_exact_has_copies_and_all_pairs_at_the_threshold(spark, tmp_path):
+    from sumfold.plans import registry
+
+    rng = np.random.default_rng(4)
+    base = [[f"w{x}" for x in rng.integers(0, 10_000, 95)] for _ in range(20)]  # 91 runs; one changed word at place 40 and one at the end leave 85 of 97
+    near = [[*b[:40], "new", *b[41:94], "end"] for b in base]
+    texts = base + near + [base[0]] * 5
+    spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.a, r.b): r.similarity for r in registry.queries()["plagiarism_exact"](spark, str(tmp_path)).collect()}
+    assert got == {(i, 20 + i): round(85 / 97, 8) for i in range(20)} | {(0, 40 + i): 1.0 for i in range(5)}
