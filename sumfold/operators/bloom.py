@@ -23,6 +23,12 @@ def sizing(capacity: int, error_rate: float = 0.01) -> tuple[int, int]:
     return bits, max(1, math.ceil(bits / capacity * math.log(2)))
 
 
+def capacity(df: DataFrame, item: str, keys: tuple[str, ...] = ()) -> int:
+    """A capacity for the items of every group: the largest approximate distinct count and a tenth more, 1 at least."""
+    n = df.groupBy(*keys).agg(F.approx_count_distinct(item, 0.02).alias("n")).agg(F.max("n").alias("n")).first().n
+    return max(1, math.ceil(1.1 * (n or 0)))
+
+
 def positions(item: Column, bits: int, hashes: int) -> Column:
     """Bit numbers of an item: (h1 + i * h2) mod bits, both hashes seeded."""
     a, b = hashing.modulo(hashing.seeded_digest(0, item), bits), hashing.modulo(hashing.seeded_digest(1, item), bits)

@@ -135,6 +135,43 @@ def bloom_user_days(spark, d):
     return f.holders(e.select("user_id"), "user_id").groupBy("user_id").agg(F.count("*").alias("days"))
 
 
+def _sized(df, keys=()):
+    """A filter of 1 % false positives for as many users as the table holds."""
+    return bloom.BloomFilter.build(df, "user_id", keys, bloom.capacity(df, "user_id", keys), 0.01)
+
+
+@query()
+def bloom_sized_membership(spark, d):
+    """bloom_membership with a filter sized from the table."""
+    e = table(spark, d, "events")
+    held = e.where("event_type = 'error' and value > 90")
+    truth = held.select("user_id", F.lit(True).alias("truly")).distinct()
+    return _sized(held).probe(e.select("user_id").distinct(), "user_id").join(truth, "user_id", "left").withColumn("truly", F.coalesce("truly", F.lit(False)))
+
+
+@query()
+def bloom_sized_user_days(spark, d):
+    """bloom_user_days with filters sized from the fullest day."""
+    e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    return _sized(e, ("day",)).holders(e.select("user_id"), "user_id").groupBy("user_id").agg(F.count("*").alias("days"))
+
+
+@query()
+def bloom_sized_bits(spark, d):
+    """bloom_bits with filters sized from the fullest event type."""
+    return _sized(table(spark, d, "events"), ("event_type",)).df
+
+
+@query()
+def bloom_sized_merge_saturation(spark, d):
+    """bloom_merge_saturation with filters sized from all users, so that the merged one keeps its rate."""
+    e = table(spark, d, "events")
+    n = bloom.capacity(e, "user_id")
+    parts = [bloom.BloomFilter.build(e.where(F.col("event_type") == t), "user_id", (), n, 0.01) for t in ("view", "click", "error", "purchase", "signup")]
+    s = sum(parts).saturation()
+    return s.select("bits_set", *[F.round(c, 8).alias(c) for c in ("saturation", "expected_fpr", "fpr_from_saturation")])
+
+
 _W, _D = 272, 5
 
 

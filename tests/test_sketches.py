@@ -197,3 +197,17 @@ class TestQuantiles:
         q = lambda p: quantile.stepwise_quantile(df, "v", p).first().q
         assert (q(0.0), q(0.25), q(0.5), q(0.6), q(1.0)) == (10.0, 10.0, 20.0, pytest.approx(24.0), 40.0)
         assert math.isclose(df.agg(quantile.cdf_at("v", 25.0).alias("c")).first().c, 0.5)
+
+
+def test_sized_bloom_queries_keep_their_rate(spark, tmp_path):
+    from sumfold.plans import registry
+
+    rows = spark.range(6000).selectExpr("id as event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(cast(id % 2 as int)) as ts", "id as user_id", "if(id % 2 = 0, 'error', 'view') as event_type", "95.0d as value")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    run = lambda name: registry.queries()[name](spark, str(tmp_path))
+    got = run("bloom_sized_membership").collect()
+    assert len(got) == 6000 and all(r.maybe for r in got if r.truly) and sum(r.maybe for r in got if not r.truly) < 0.03 * 3000
+    days = run("bloom_sized_user_days").collect()
+    assert len(days) == 6000 and sum(r.days - 1 for r in days) < 0.03 * 6000
+    assert run("bloom_sized_merge_saturation").first().fpr_from_saturation < 0.02
+    assert {r.event_type for r in run("bloom_sized_bits").select("event_type").distinct().collect()} == {"error", "view"}
