@@ -316,3 +316,19 @@ def plagiarism_exact(spark, d):
     """All near copies by runs of five words at an exact similarity of 0.8 or more; every exact copy stands with the first of its equals."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.filter(F.split(F.lower("text"), " "), lambda v: F.length(v) > 0).alias("w"))
     return lsh.exact_pairs(docs.select("key", _shingles(F.col("w")).alias("words")), 0.8).withColumn("similarity", F.round("similarity", 8))
+
+
+@query(f"""
+    WITH t AS (SELECT doc_id AS key, unnest(list_filter(string_split(lower(text), ' '), lambda w: length(w) > 0)) AS w FROM documents), c AS (SELECT key, w, count(*)::DOUBLE AS n FROM t GROUP BY ALL),
+    s AS (SELECT key, sum(n) AS t FROM c GROUP BY key), l AS (SELECT x.key AS query, y.key AS key, sum(least(x.n, y.n)) AS low FROM c x JOIN c y ON x.w = y.w AND x.key % 100 = 0 AND x.key <> y.key GROUP BY ALL)
+    SELECT query, l.key, round(low / (a.t + b.t - low), 8) AS jaccard FROM l JOIN s a ON a.key = query JOIN s b ON b.key = l.key
+""")
+def tf_weighted_search(spark, d):
+    """Each document of the block doc_id % 100 = 0 against all others that share a word, whatever their ids."""
+    words = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.explode(F.filter(F.split(F.lower("text"), " "), lambda w: F.length(w) > 0)).alias("w"))
+    c = words.groupBy("key", "w").agg(F.count("*").cast("double").alias("n"))
+    t = c.groupBy("key").agg(F.sum("n").alias("t"))
+    asked = c.where("key % 100 = 0").select(F.col("key").alias("query"), "w", F.col("n").alias("m"))
+    low = asked.join(c, "w").where("query <> key").groupBy("query", "key").agg(F.sum(F.least("m", "n")).alias("low"))
+    both = low.join(t, "key").join(t.select(F.col("key").alias("query"), F.col("t").alias("u")), "query")
+    return both.select("query", "key", F.round(F.col("low") / (F.col("t") + F.col("u") - F.col("low")), 8).alias("jaccard"))

@@ -178,3 +178,12 @@ def test_plagiarism_exact_has_copies_and_all_pairs_at_the_threshold(spark, tmp_p
     spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.a, r.b): r.similarity for r in registry.queries()["plagiarism_exact"](spark, str(tmp_path)).collect()}
     assert got == {(i, 20 + i): round(85 / 97, 8) for i in range(20)} | {(0, 40 + i): 1.0 for i in range(5)}
+
+
+def test_tf_weighted_search_compares_ids_that_are_far_apart(spark, tmp_path):
+    from sumfold.plans import registry
+
+    texts = [(100, "a a b"), (250, "a a b"), (777, "a b c d"), (9, "x")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.query, r.key): r.jaccard for r in registry.queries()["tf_weighted_search"](spark, str(tmp_path)).collect()}
+    assert got == {(100, 250): 1.0, (100, 777): 0.4}
