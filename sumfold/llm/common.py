@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import math
+import shutil
 import tempfile
 import uuid
 
@@ -17,44 +20,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where that is unset: one in the warehouse, or, if driver and executors are one process, a temporary one."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_sumfold"
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="sumfold-")
+        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
     return f"file://{_own_dir}"
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once to the shared folder and read it back, so that lineage ends here.
+def _place(spark: SparkSession, path: str) -> tuple:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
-    Only slim tables (ids, counts, signatures) go through this; files stay until sweep().
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """df, written once to the shared folder and read back, so that lineage ends here.
+
+    Such tables live as long as the application, unless sweep() deletes them before.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    files, p = _place(spark, path)
     df.write.parquet(path)
+    files.deleteOnExit(p)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> int:
-    """Delete what cut() has written in this process; call it when the results that build on it are stored. Returns how many tables went."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in (gone := list(_written)):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-    _written.clear()
+cut = stored  # the operators' slim tables: ids, counts, signatures
+
+
+def mark() -> int:
+    """A place in the list of intermediate tables, for sweep()."""
+    return len(_written)
+
+
+def sweep(spark: SparkSession, since: int = 0, but: int = 0) -> int:
+    """Delete the intermediate tables written in this process after `since`, all but the last `but`; call it when the results that build on them are stored. Returns how many went."""
+    gone = _written[since : len(_written) - but]
+    for path in gone:
+        files, p = _place(spark, path)
+        files.delete(p, True)
+    del _written[since : len(_written) - but]
     return len(gone)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of whole texts for this session: at most `rows` rows, so that a Python worker holds a few MB of them."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Arrow batches of whole texts for this session: at most `rows` rows and about `size` bytes, so that a Python worker holds a few MB of them or one text. Settings of the caller that are smaller (bytes: any) stay."""
+    key, limit = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set(limit, spark.conf.get(limit, f"{size}b"))
 
 
 def crc_mod(col: str | Column, k: int) -> Column:
@@ -65,3 +87,8 @@ def crc_mod(col: str | Column, k: int) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def ranges(spark: SparkSession, total: int, each: int = 256 << 20, most: int = 100_000) -> int:
+    """How many ranges to deal `total` bytes into: about `each` bytes in one, at least the session's shuffle partitions."""
+    return max(partitions(spark), min(most, math.ceil(total / each)))
