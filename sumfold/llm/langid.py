@@ -6,11 +6,15 @@ count whole, whatever their length, so a text without spaces is judged on all of
 model is trained by stochastic gradient descent in numpy on a bounded sample for each
 language (`per_lang` texts, whole), then a temperature is fitted on a part held back, and
 texts below a calibrated probability are rejected.
+
+Sampled texts become features on the executors, at most 6 bytes for each bucket, so
+what the driver holds does not follow the length of the texts.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sumfold.llm.common import small_batches
 
-BUCKETS, DIM, PER_LANG, CACHE, MOST_REJECTED = 1 << 16, 16, 600, 200_000, 0.4
+BUCKETS, DIM, PER_LANG, LANGS, CACHE, MOST_REJECTED = 1 << 16, 16, 600, 1000, 200_000, 0.4
 KEPT, PIECE, BLOCK = 64, 4096, 1 << 20  # characters of a word that is kept, of a piece of a word, hashed at once
 _letter = re.compile(r"[^\W\d_]")
 
@@ -107,35 +111,46 @@ class Model:
     least: float  # calibrated probability below which a text is rejected
 
     def predict(self, texts: list[str | None], seen: WordTable) -> tuple[list[str], np.ndarray]:
-        """Language and calibrated probability of each text; `und` and 0 for null or no letter."""
+        """Language and calibrated probability of each text; `und` and 0 for null or no letter, or if nothing was learned."""
+        if not self.langs:
+            return ["und"] * len(texts), np.zeros(len(texts))
         ok = np.array([t is not None and bool(_letter.search(t)) for t in texts], bool)
         sums = seen.sums([t.lower().split() if o else [] for t, o in zip(texts, ok, strict=True)])
         p = _softmax((sums[:, :-1] / np.maximum(sums[:, -1:], 1) + self.bias) / self.heat)
         return [self.langs[b] if o else "und" for b, o in zip(p.argmax(axis=1), ok, strict=True)], np.where(ok, p.max(axis=1), 0.0)
 
 
-def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5, seed: int = 7, kept_back: int = 5) -> Model:
-    """SGD over whole texts and one short window of each, so that short texts are judged as well."""
-    names = sorted(set(langs))
+def examples(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Features of the whole text and of one short window, so that short texts are judged as well; none without a letter."""
+    if not _letter.search(text):
+        return []
+    words = text.lower().split()
+    out = [_features(words)]
+    at = zlib.crc32(text.encode("utf-8", "surrogatepass")) % max(1, len(words) - 6)
+    if any(map(_letter.search, words[at : at + 8])):
+        out.append(_features(words[at : at + 8]))
+    return out
+
+
+def train(texts: list[str], langs: list[str]) -> Model:
+    """A model of labelled texts."""
+    return learn([(examples(t), lang) for t, lang in zip(texts, langs, strict=True)])
+
+
+def learn(found: list[tuple[list[tuple[np.ndarray, np.ndarray]], str]], epochs: int = 4, rate: float = 0.5, seed: int = 7, kept_back: int = 5) -> Model:
+    """SGD over the examples of labelled texts, in the order given. Without any, a model that knows no language."""
+    names = sorted({lang for got, lang in found if got})
     if not names:
-        raise ValueError("no labelled text to learn from")
-    rng, data = np.random.default_rng(seed), []
-    for j, (t, lang) in enumerate(zip(texts, langs, strict=True)):
-        words = t.lower().split()
-        if not _letter.search(t):
-            continue
-        y = names.index(lang)
-        data.append((*_features(words), y, j % kept_back == 0))
-        at = int(rng.integers(0, max(1, len(words) - 6)))
-        if any(map(_letter.search, words[at : at + 8])):
-            data.append((*_features(words[at : at + 8]), y, j % kept_back == 0))
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
+    rng = np.random.default_rng(seed)
+    data = [(f, share, names.index(lang), j % kept_back == 0) for j, (got, lang) in enumerate(found) for f, share in got]
     emb = rng.normal(0, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     w, b = np.zeros((DIM, len(names)), np.float32), np.zeros(len(names), np.float32)
-    learn = [x for x in data if not x[3]] or data
-    steps, step = epochs * len(learn), 0
+    used = [x for x in data if not x[3]] or data
+    steps, step = epochs * len(used), 0
     for _ in range(epochs):
-        for j in rng.permutation(len(learn)):
-            f, share, y, _ = learn[j]
+        for j in rng.permutation(len(used)):
+            f, share, y, _ = used[j]
             h = share @ emb[f]
             z = h @ w + b
             g = np.exp(z - z.max())
@@ -161,28 +176,38 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5
     return Model(names, table.astype(np.float32), b, heat, least if len(names) > 1 else 0.0)
 
 
-def fit(docs: DataFrame, keep: Column | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG) -> Model:
-    """Train on at most about `per_lang` texts of each language, chosen by a hash of the id.
+def fit(docs: DataFrame, keep: Column | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG, langs: int = LANGS) -> Model:
+    """Train on at most about `per_lang` texts of each of the `langs` most frequent languages, chosen by a hash of the id.
 
-    Rows with null text or lang do not take part; `keep` restricts the rest.
+    Rows with null text or lang, or without a letter, do not take part, nor those for which `keep` is not true; repeated
+    rows count each. Without any such row the model knows no language.
     """
-    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l"), (F.lit(True) if keep is None else keep).alias("k"))
-    rows = rows.where(F.col("k") & F.col("l").isNotNull())
-    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.lit(1.0)
-    for name, n in sizes.items():
-        share = F.when(F.col("l") == name, F.lit(per_lang / n)).otherwise(share)
-    got = rows.where(F.col("t").isNotNull() & (draw < share)).select("i", "t", "l").toPandas()
-    got = got.sort_values(["i", "t"], kind="stable")
-    return train(got["t"].tolist(), got["l"].tolist())
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l"), (F.lit(True) if keep is None else keep).alias("k"))
+    rows = rows.where(F.col("k") & F.col("l").isNotNull() & F.col("t").isNotNull())
+    sizes = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(langs).collect()
+    if not sizes:
+        return learn([])
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col("i").cast("string"), F.xxhash64("t").cast("string"))), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r.l, per_lang / r.n)])[F.col("l")]
+
+    def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [examples(t) for t in pdf["t"]]
+            yield pd.DataFrame({"i": pdf["i"], "l": pdf["l"], "f": [[f.astype("<u2").tobytes() for f, _ in g] for g in got], "x": [[x.astype("<f4").tobytes() for _, x in g] for g in got]})
+
+    got = rows.where(draw < share).select(F.col("i").cast("string").alias("i"), "t", "l").mapInPandas(featured, "i string, l string, f array<binary>, x array<binary>").collect()
+    got.sort(key=lambda r: (r.i or "", r.l, r.f))
+    return learn([([(np.frombuffer(f, "<u2").astype(np.int64), np.frombuffer(x, "<f4")) for f, x in zip(r.f, r.x, strict=True)], r.l) for r in got])
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs plus lang_pred, lang_score (0 to 1) and lang_rejected. Row-local; other columns and rows are kept.
 
-    Null texts and texts without a letter are `und`, score 0 and rejected. The model (4 bytes
-    for each bucket and language) is broadcast.
+    Null texts and texts without a letter are `und`, score 0 and rejected. A model that knows no language
+    calls all texts `und`, score 0, and rejects just those without a letter. Equal texts are judged
+    alike, repeated rows each; of equally probable languages the first in order is named; an empty
+    table gives an empty one; columns of the new names are replaced. The model (4 bytes for each bucket and language) is broadcast.
     """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -195,7 +220,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             texts, parts = [None if x is None else x for x in s], []
             for a in range(0, len(texts), 128):
                 names, p = m.predict(texts[a : a + 128], seen)
-                parts.append(pd.DataFrame({"lang_pred": names, "lang_score": p, "lang_rejected": [n == "und" or x < m.least for n, x in zip(names, p, strict=True)]}))
+                none = [t is None or not _letter.search(t) for t in texts[a : a + 128]]
+                parts.append(pd.DataFrame({"lang_pred": names, "lang_score": p, "lang_rejected": [n or x < m.least for n, x in zip(none, p, strict=True)]}))
             yield pd.concat(parts) if parts else pd.DataFrame({"lang_pred": pd.Series([], dtype=object), "lang_score": pd.Series([], dtype=float), "lang_rejected": pd.Series([], dtype=bool)})
 
-    return docs.withColumn("_sf_id", of(F.col(text))).select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_rejected")], "_sf_id.*")
+    return docs.withColumn("_sf_id", of(F.col(f"`{text}`"))).select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_rejected")], "_sf_id.*")

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -48,8 +49,58 @@ def test_fit_uses_labelled_rows_only(spark):
 
 
 def test_nothing_to_learn_from(spark):
-    with pytest.raises(ValueError):
-        langid.fit(frame(spark, []))
+    empty = frame(spark, [])
+    assert langid.identify(empty, langid.fit(empty)).collect() == []
+    docs = frame(spark, ["some words", None, "", "12 3", "some words"], langs=[None] * 5)
+    got = sorted(langid.identify(docs, langid.fit(docs)).collect(), key=lambda r: r.doc_id)
+    assert [(r.lang_pred, r.lang_score, r.lang_rejected) for r in got] == [("und", 0.0, x) for x in (False, True, True, True, False)]
+    lettered = langid.fit(frame(spark, ["1 2", "3"], langs=["en", "de"]))
+    assert lettered.langs == []
+
+
+def plain_sgd(texts, langs, epochs=4, rate=0.5, seed=7):
+    """The same training on dense vectors, feature by feature: a brute-force model."""
+    import numpy as np
+
+    names, rng, data = sorted(set(langs)), np.random.default_rng(seed), []
+    for j, (t, lang) in enumerate(zip(texts, langs, strict=True)):
+        for f, share in langid.examples(t):
+            x = np.zeros(langid.BUCKETS)
+            for b, s in zip(f, share, strict=True):
+                x[b] = s
+            data.append((x, names.index(lang), j % 5 == 0))
+    emb = rng.normal(0, 1 / langid.DIM, (langid.BUCKETS, langid.DIM)).astype(np.float32).astype(float)
+    w, b = np.zeros((langid.DIM, len(names))), np.zeros(len(names))
+    used = [x for x in data if not x[2]]
+    step = 0
+    for _ in range(epochs):
+        for j in rng.permutation(len(used)):
+            x, y, _ = used[j]
+            h = x @ emb
+            p = np.exp(h @ w + b) / np.exp(h @ w + b).sum()
+            p[y] -= 1
+            lr = rate * (1 - step / (epochs * len(used)))
+            step += 1
+            back = w @ p
+            w, b = w - lr * np.outer(h, p), b - lr * 0.1 * p
+            some = np.flatnonzero(x)
+            emb[some] -= lr * min(64, len(some)) * np.outer(x[some], back)
+    return names, emb, w, b
+
+
+def test_predictions_equal_brute_force():
+    rng = random.Random(2)
+    langs = [rng.choice(list(PARTS)) for _ in range(40)]
+    texts = [text(x, rng.randint(3, 30), rng) for x in langs]
+    m, (names, emb, w, b) = langid.train(texts, langs), plain_sgd(texts, langs)
+    seen, asked = langid.WordTable(m.table), [text(x, 12, rng) for x in PARTS] + ["la", "x" * 500]
+    got, p = m.predict(asked, seen)
+    for t, name, score in zip(asked, got, p, strict=True):
+        grams = [g for word in t.lower().split() for s in [f"<{word}>"] for n in (2, 3, 4) for g in (s[k : k + n] for k in range(len(s) - n + 1))]
+        h = sum(emb[langid.subwords([(g, 1)])[0][len(g) - 2]] for g in grams) / len(grams)  # an n-gram is the longest that starts at its first character
+        z = (h @ w + b) / m.heat
+        e = [math.exp(x - max(z)) for x in z]
+        assert names[e.index(max(e))] == name and max(e) / sum(e) == pytest.approx(score, abs=2e-3)
 
 
 def test_long_words_count_whole(model, monkeypatch):
