@@ -1,9 +1,10 @@
 """Sharding by Hilbert-curve order.
 
-Metadata dimensions are quantised at their quantiles, a row's cell gets its index on the
-Hilbert curve, rows are sorted by that index and the order is cut into runs of equal
-counts. Neighbours on the curve are near in every dimension, so minimum and maximum of
-each dimension prune whole shards. Only DataFrame operations; texts are never shuffled.
+Metadata dimensions are quantised at their exact quantiles, whole values of any type that
+has an order: a value's cell is the share of rows with lesser values. A row's cell gets its
+index on the Hilbert curve, rows are sorted by that index and the order is cut into runs of
+equal counts. Neighbours on the curve are near in every dimension, so minimum and maximum
+of each dimension prune whole shards. Only DataFrame operations; texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -11,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sumfold.llm.common import cut, partitions
+from sumfold.llm.common import cut, ranges
 
-BITS = 4
+BITS, ROW_BYTES = 4, 64
 
 
 def curve_index(axes: list[Column], bits: int = BITS) -> Column:
@@ -43,60 +44,61 @@ def curve_index(axes: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(order, F.lit(0).cast("long"), lambda acc, s: acc * 2 + bit(s))
 
 
-def as_number(col: Column, dtype: str) -> Column:
-    """A long or double in the order of the column: strings by their first seven bytes; null is least."""
-    if dtype == "string":
-        head = F.rpad(F.hex(F.substring(F.encode(col, "UTF-8"), 1, 7)), 14, "0")
-        return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1))
-    return F.coalesce(col.cast("double"), F.lit(-float("inf")))
+def _numbered(ordered: DataFrame, weight: Column) -> tuple[DataFrame, int]:
+    """A written table with its rows' places `_at` (partition, row), plus `_before`: the weight of all partitions before a row's own, and the weight of all."""
+    part = F.shiftright("_at", 33)
+    sizes = ordered.groupBy(part.alias("_p")).agg(F.sum(weight).alias("_n"))  # a row for each partition
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ordered.withColumn("_p", part).join(F.broadcast(sizes.select("_p", before.alias("_before"))), "_p"), total
+
 
+def cells_of(df: DataFrame, value: str, bits: int = BITS) -> Column:
+    """The cell of each value of a column, of `bits` bits: its 2**bits-th of the rows, by the share of rows with a lesser value; null is least.
 
-def quantised(df: DataFrame, dims: dict[str, Column], types: dict[str, str], bits: int = BITS) -> DataFrame:
-    """df plus an integer column of `bits` bits for each dimension: how many of its quantile cut points lie below."""
-    n = 1 << bits
-    for name, c in dims.items():
-        df = df.withColumn(f"_n_{name}", as_number(c, types[name]))
-    at = [i / n for i in range(1, n)]
-    cuts = df.agg(*[F.percentile_approx(f"_n_{d}", at, 10_000).alias(d) for d in dims]).first()
-    for d in dims:
-        edges = F.lit(sorted(set(cuts[d] or [])))
-        value = F.col(f"_n_{d}")
-        df = df.withColumn(d, F.size(F.filter(edges, lambda e: e < value)) if cuts[d] else F.lit(0))  # noqa: B023
-    return df.drop(*[f"_n_{d}" for d in dims])
+    Values are counted first, and counts are summed in two levels over ranges of values, so
+    neither a hot value nor many different ones meet in one task; at most 2**bits least values come to the driver.
+    """
+    v = F.col(value)
+    counts = df.groupBy(v.alias("v")).agg(F.count("*").alias("n"))
+    ordered = counts.repartitionByRange("v").sortWithinPartitions("v").withColumn("_at", F.monotonically_increasing_id())
+    placed, total = _numbered(cut(ordered, "hilbert-values"), F.col("n"))
+    upto = F.col("_before") + F.sum("n").over(Window.partitionBy("_p").orderBy("_at")) - F.col("n")
+    cell = F.expr(f"cast((_upto << {bits}) div {max(1, total)} as int)")
+    least = placed.withColumn("_upto", upto).groupBy(cell.alias("c")).agg(F.min("v").alias("v")).where("v is not null").orderBy("c").collect()
+    kind = dict(df.dtypes)[value]
+    out = F.lit(0)
+    for r in least:
+        out = F.when(v >= F.lit(r.v).cast(kind), F.lit(r.c)).otherwise(out)
+    return out
 
 
 def shards(docs: DataFrame, n_shards: int, dims: tuple[str, ...] = ("source", "lang", "size"), doc_id: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
-    """doc_id, size, text_crc32, curve, shard, slot for every row.
+    """doc_id, size, text_crc32, curve, shard, slot for every row; none for an empty table.
 
     size is the text's UTF-8 bytes plus 8 and is a dimension itself; null texts count as
     empty in it and have crc32 0, null metadata is least. Rows are ordered by curve index,
-    then text, then id, so equal texts of one cell stay together; counts of shards differ by
-    one at most. A hot cell is split like any other run, as ids take part in the order.
+    then the text's crc32, then size and id (null first), so equal texts of one cell stay together, unless a cut
+    between shards goes through them: the law counts rows, and a large group of copies fits in no shard.
+    Equal texts of different metadata lie where their metadata are. Counts of shards differ by
+    one at most. Repeated rows are rows; a hot cell is split like any other run, as texts and ids take part in the order.
     """
     spark = docs.sparkSession
     t = F.col(f"`{text}`")
     base = docs.select(
         F.col(f"`{doc_id}`").alias("doc_id"), (F.coalesce(F.octet_length(t), F.lit(0)) + 8).cast("long").alias("size"),
-        F.coalesce(F.crc32(t.cast("binary")), F.lit(0)).alias("text_crc32"), F.xxhash64(t).alias("_text"),
-        *[F.col(f"`{d}`").alias(f"_d_{d}") for d in dims if d != "size"],
+        F.coalesce(F.crc32(t.cast("binary")), F.lit(0)).alias("text_crc32"), *[F.col(f"`{d}`").alias(f"_d_{d}") for d in dims if d != "size"],
     )
-    types = dict(base.dtypes)
     base = cut(base, "hilbert-meta")
-    of = {d: F.col("size" if d == "size" else f"_d_{d}") for d in dims}
-    axes = {f"_q_{d}": c for d, c in of.items()}
-    cells = quantised(base, axes, {f"_q_{d}": types["size" if d == "size" else f"_d_{d}"] for d in dims}, bits)
+    axes = {f"_q_{d}": cells_of(base, "size" if d == "size" else f"_d_{d}", bits) for d in dims}
+    cells = base.select("doc_id", "size", "text_crc32", *[c.alias(a) for a, c in axes.items()])
     curve = cells.select(*axes).distinct().withColumn("curve", curve_index([F.col(a) for a in axes], bits))  # 2 ** (dims * bits) rows at most
-    cells = cells.join(F.broadcast(curve), list(axes)).select("doc_id", "size", "text_crc32", "_text", "curve")
-    n = partitions(spark)
-    ordered = cells.repartitionByRange(n, "curve", "_text", "doc_id").sortWithinPartitions("curve", "_text", "doc_id")
-    ordered = cut(ordered.withColumn("_at", F.monotonically_increasing_id()), "hilbert-order")
-    part = F.shiftright("_at", 33)
-    sizes = ordered.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))  # a row for each partition
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("_p", before.alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    cells = cells.join(F.broadcast(curve), list(axes)).select("doc_id", "size", "text_crc32", "curve")
+    order = ["curve", "text_crc32", "size", "doc_id"]
+    ordered = cells.repartitionByRange(ranges(spark, base.count() * ROW_BYTES), *order).sortWithinPartitions(*order)
+    placed, total = _numbered(cut(ordered.withColumn("_at", F.monotonically_increasing_id()), "hilbert-order"), F.lit(1))
     # rank r of n goes to shard r * k div n: shard j holds the ranks from ceil(j * n / k)
-    rank = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    placed = ordered.join(F.broadcast(sizes), part == F.col("_p")).withColumn("_rank", rank)
-    placed = placed.withColumn("shard", F.expr(f"cast(_rank * {n_shards} div _all as int)"))
-    start = F.expr(f"(shard * _all + {n_shards - 1}) div {n_shards}")
+    placed = placed.withColumn("_rank", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    placed = placed.withColumn("shard", F.expr(f"cast(_rank * {n_shards} div {max(1, total)} as int)"))
+    start = F.expr(f"(shard * {total}L + {n_shards - 1}) div {n_shards}")
     return placed.select("doc_id", "size", "text_crc32", "curve", "shard", (F.col("_rank") - start).alias("slot"))

@@ -8,11 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumfold.llm import hilbert, html, langid, maxent, mixing, neardup, pack, secrets, topk, winnow
+from sumfold.llm import hilbert, html, langid, maxent, mixing, neardup, pack, secrets, topk, twins, winnow
 from sumfold.llm.common import crc_mod, table
 
 SHARDS = 24
-MAX_ROUNDS = 2.0
+MAX_ROUNDS, FLATTEN = 4.0, 0.5  # op3: no source is repeated more than four times, the entropy goes half of the way to that of equal weights
 
 
 def op1_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +27,9 @@ def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_temperature_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.layout(mixing.mixture(table(spark, sf_dir, "documents"), max_rounds=MAX_ROUNDS))
+    m = mixing.mixture(table(spark, sf_dir, "documents"), max_rounds=MAX_ROUNDS, flatten=FLATTEN)
+    out = mixing.layout(m).withColumns({"weight": F.round("weight", 9), "exponent": F.round(F.lit(m.exponent), 9), "entropy": F.round(F.lit(m.entropy), 9)})
+    return out.select("doc_id", "source", "tokens", "weight", "budget", "start", "copies", "exponent", "entropy")
 
 
 def op4_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +78,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_hilbert_shards": twins.hilbert_shards(SHARDS, hilbert.BITS),
+        "op3_temperature_mixture": twins.temperature_mixture(MAX_ROUNDS, FLATTEN, mixing.BLOCK, mixing.SEED),
         "op9_maxscore_topk": """
             WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
                        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -41,3 +41,19 @@ def test_few_rows(spark, n):
 def test_all_metadata_null(spark):
     docs = frame(spark, ["a", None, "b"], sources=[None] * 3, langs=[None] * 3)
     assert len(hilbert.shards(docs, 2).collect()) == 3
+
+
+def test_cells_of_whole_values(spark):
+    values = [None] * 3 + [f"https://host/{x}" for x in "aabbbbcdefgh"] + [""]
+    df = spark.createDataFrame([(v,) for v in values], "s string")
+    got = df.select("s", hilbert.cells_of(df, "s", 2).alias("c")).collect()
+    for r in got:
+        less = sum(r.s is not None and (v is None or v < r.s) for v in values)
+        assert r.c == less * 4 // len(values)
+    assert len({r.c for r in got if r.s and r.s.startswith("https")}) > 1  # a common prefix makes no common cell
+    none = spark.createDataFrame([], "s string")
+    assert none.select(hilbert.cells_of(none, "s")).collect() == []
+    for kind, rows in (("double", [2.5, -1.0, None, 7.0]), ("date", ["2024-01-01", None, "2023-05-05", "2024-01-02"]), ("boolean", [True, False, None, True])):
+        df = spark.createDataFrame([(None if v is None else str(v),) for v in rows], "v string").select(F.col("v").cast(kind).alias("v"))
+        got = df.select("v", hilbert.cells_of(df, "v", 2).alias("c")).collect()
+        assert all(r.c == sum(r.v is not None and (x.v is None or x.v < r.v) for x in got) for r in got)

@@ -52,6 +52,29 @@ def test_entropy_target(spark):
     assert mixing.mixture(docs, entropy=0.0).exponent == 1.0 and mixing.mixture(docs, entropy=99.0).exponent == 0.0
 
 
+def test_flattening(spark):
+    docs, texts, sources = docs_of(spark)
+    share, _ = shares(texts, sources)
+    own = -sum(p * math.log(p) for p in share.values())
+    seen = []
+    for part in (0.0, 0.25, 0.5, 1.0):
+        m = mixing.mixture(docs, max_rounds=None, flatten=part)
+        assert m.entropy == pytest.approx(own + part * (math.log(len(share)) - own), abs=1e-5)
+        seen.append(m.exponent)
+    assert seen[0] == pytest.approx(1, abs=1e-6) and seen == sorted(seen, reverse=True) and seen[-1] < 0.01
+    both = mixing.mixture(docs, max_rounds=1.2, flatten=0.5)  # the stricter limit holds
+    assert both.exponent == pytest.approx(1 - math.log(1.2) / math.log(max(share.values()) / min(share.values())), abs=1e-6)
+
+
+def test_repeated_and_missing_ids_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 10)
+    docs = frame(spark, [prose(5, s) for s in range(200)], ids=[None] * 100 + [7] * 100, sources=["hot"] * 200)
+    m = mixing.mixture(docs, budget=3000)
+    rows = m.laid.collect()
+    assert len({r.block for r in rows}) > 10 and len({r.start for r in rows}) == 200
+    assert mixing.realise(docs, m).count() == sum(r.copies for r in mixing.layout(m).collect())
+
+
 def test_rows_are_repeated_as_laid_out(spark):
     docs, *_ = docs_of(spark)
     m = mixing.mixture(docs, max_rounds=2.0)
