@@ -7,7 +7,7 @@ input size; the IDF is scaled to 1 .. 2 by the logarithm of the number of docume
 shingle weighs at most twice another, however large the corpus or a group in it. Every
 text draws BANDS x ROWS consistent weighted samples; texts that agree in a band are
 candidates. A candidate pair is linked if its exact weighted Jaccard similarity reaches the
-threshold, or its plain one (of the sets of shingles) does.
+threshold, or its plain one (of the sets of shingles) does; the result counts both.
 
 Copies are collapsed before anything is compared. In a bucket, members are compared with
 one pivot, the member that shares most buckets, not with each other. For buckets that
@@ -18,6 +18,9 @@ their similarity; the pairs that are still in different classes and whose bound
 threshold are compared one by one. So no candidate link between classes is
 lost, and a large group of near copies does not make all its pairs.
 
+Buckets and groups of more than SPLIT texts are dealt over several tasks wherever their members
+meet, so a group that holds a third of all texts is no single task.
+
 Classes are connected components. Null texts are classes of their own; empty texts are
 copies of each other.
 """
@@ -29,13 +32,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sumfold.llm.common import cut, small_batches
 
 SHINGLE, SIMILARITY, BANDS, ROWS, DF_BITS = 5, 0.8, 10, 3, 20
-CHUNK, WORDS, BROADCAST_IDS = 1 << 13, 150_000, 500_000
+CHUNK, WORDS, BROADCAST_IDS, SPLIT = 1 << 13, 150_000, 500_000, 256
 DF_BLOCK = 1 << 12
 
 
@@ -123,11 +126,16 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return len(i), float(np.minimum(w[i], v[j]).sum(dtype=np.float64))
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """The larger of weighted Jaccard similarity (minima over maxima) and that of the sets; 1 for two texts without features."""
+def similarities(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
+    """Weighted Jaccard similarity (minima over maxima) and that of the sets; 1 for two texts without features."""
     n, w = overlap(a, b)
     most = a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64) - w
-    return max(w / most, n / (len(a[0]) + len(b[0]) - n)) if most else 1.0
+    return (w / most, n / (len(a[0]) + len(b[0]) - n)) if most else (1.0, 1.0)
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """The larger of the two."""
+    return max(similarities(a, b))
 
 
 def idf_of(counts: np.ndarray, n: int) -> np.ndarray:
@@ -191,7 +199,7 @@ class Verifier:
         return found.groupBy("key").agg(F.first("t").alias("t"))
 
     def judged(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, linked, n, w) for pairs (a, b) of text keys: whether the texts are similar enough, and their overlap. pairs is read twice."""
+        """(a, b, linked, weighty, n, w) for pairs (a, b) of text keys: whether the texts are similar enough, by weight as well, and their overlap. pairs is read twice."""
         idf, least, shingle = self.idf, self.least, self.shingle
         texts = cut(self.texts(pairs.select("a").unionAll(pairs.select("b")).toDF("key").distinct()), "neardup-texts")
 
@@ -208,11 +216,12 @@ class Verifier:
             for pdf in batches:
                 both = [(s.weighted(x), of(b, y)) for x, b, y in zip(pdf["x"], pdf["b"], pdf["y"], strict=True)]
                 shared = [overlap(x, y) for x, y in both]
-                yield pdf[["a", "b"]].assign(linked=[similarity(x, y) >= least for x, y in both], n=[n for n, _ in shared], w=[w for _, w in shared])
+                like = np.array([similarities(x, y) for x, y in both]).reshape(-1, 2) >= least
+                yield pdf[["a", "b"]].assign(linked=like.any(axis=1), weighty=like[:, 0], n=[n for n, _ in shared], w=[w for _, w in shared])
 
         full = pairs.join(texts.select(F.col("key").alias("b"), F.col("t").alias("y")), "b")
         full = full.join(texts.select(F.col("key").alias("a"), F.col("t").alias("x")), "a")
-        return cut(full.select("a", "b", "x", "y").mapInPandas(judge, "a string, b string, linked boolean, n long, w double"), "neardup-judged")
+        return cut(full.select("a", "b", "x", "y").mapInPandas(judge, "a string, b string, linked boolean, weighty boolean, n long, w double"), "neardup-judged")
 
     def unshared(self, keys: DataFrame) -> DataFrame:
         """(key, n, w, u, uw): shingles and weight of each text, and of those that no other of the texts has. keys is read twice."""
@@ -241,7 +250,12 @@ def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """One row for each row of docs: doc_id, text_key (md5, null for null), class_id (least doc_id of its class)."""
+    """One row for each row of docs: doc_id, text_key (md5, null for null), class_id (least doc_id of its class), links, weighted_links.
+
+    links counts the other texts that were compared with a row's text and are similar enough; weighted_links those that are so by
+    weight. Once two texts are in one class they need not be compared, so links is no count of all similar texts.
+    Null ids are no class_id unless no row of the class has one; repeated rows and equal texts are one text; an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     idf = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(docs, text, shingle))
 
@@ -263,31 +277,34 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     ordered = lambda a, b: (F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
     tried = cut(members.join(pivots, "k").where("key <> p.key").select(*ordered(F.col("key"), F.col("p.key"))).distinct(), "neardup-tried")
     judged = check.judged(tried)
-    links = judged.where("linked").select("a", "b")
-    apart = cut(_apart(members, components(links)), "neardup-apart")
+    links = judged.where("linked").select("a", "b", "weighty")
+    apart = cut(_apart(members, components(links.select("a", "b"))), "neardup-apart")
     if not apart.isEmpty():
         gap = 1 - least + 1e-6
         alone = check.unshared(cut(apart.select("key").distinct(), "neardup-keys"))
         alone = cut(alone.where((F.col("uw") <= gap * F.col("w")) | (F.col("u") <= gap * F.col("n"))), "neardup-unshared")
         able = cut(apart.select("k", "key", "root").join(alone, "key").join(liked, "key").join(pivots.select("k", F.col("p.key").alias("first")), "k"), "neardup-able")
         # the next two members that share most buckets meet those of other classes
-        head = F.max(F.struct("liked", "key", "root"))
-        second = cut(able.where("key <> first").groupBy("k").agg(head.alias("p2")), "neardup-second")
-        third = cut(able.join(second, "k").where("key <> first and key <> p2.key").groupBy("k").agg(head.alias("p3")), "neardup-third")
-        more = able.join(second, "k").select("key", "root", F.col("p2").alias("p")).unionAll(able.join(third, "k").select("key", "root", F.col("p3").alias("p")))
+        best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("liked"), F.desc("key")))
+        others = able.where("key <> first").withColumn("z", F.pmod(F.xxhash64("key"), F.lit(SPLIT)))
+        others = others.withColumn("r", best("k", "z")).where("r <= 2").withColumn("r", best("k")).where("r <= 2")
+        others = cut(others.select("k", F.struct("key", "root").alias("p")), "neardup-others")
+        more = able.join(others, "k").select("key", "root", "p")
         more = more.where("root <> p.root").select(*ordered(F.col("key"), F.col("p.key"))).distinct()
         more = cut(more.join(tried, ["a", "b"], "left_anti"), "neardup-tried")
-        links = cut(links.unionAll(check.judged(more).where("linked").select("a", "b")), "neardup-links")
+        links = cut(links.unionAll(check.judged(more).where("linked").select("a", "b", "weighty")), "neardup-links")
         # buckets of one pivot make one group, so a pair that shares several of them is looked at once
         grouped = cut(able.select(F.col("first").alias("k"), "key", "n", "w", "u", "uw").distinct(), "neardup-grouped")
-        rest = _apart(grouped.select("k", "key"), components(links)).join(grouped, ["k", "key"])
+        rest = _apart(grouped.select("k", "key"), components(links.select("a", "b"))).join(grouped, ["k", "key"])
         # what each shares with its pivot; the pivot shares all
         seen = judged.select("a", "b", F.col("n").alias("sn"), F.col("w").alias("sw"))
         rest = rest.withColumns({"a": F.greatest("key", "k"), "b": F.least("key", "k")}).join(seen, ["a", "b"], "left")
         rest = cut(rest.select("k", "key", "root", "size", "n", "w", "u", "uw", F.coalesce("sn", "n").alias("on"), F.coalesce("sw", "w").alias("ow")), "neardup-rest")
-        main = cut(rest.groupBy("k").agg(F.max(F.struct("size", "root")).alias("main")), "neardup-main")
-        few = rest.join(main, "k").where("root <> main.root").select("k", F.col("main.root").alias("main"), *[F.col(c).alias(f"{c}_x") for c in ("key", "root", "n", "w", "u", "uw", "on", "ow")])
+        main = cut(rest.groupBy("k").agg(F.max(F.struct("size", "root"))["root"].alias("main"), F.expr(f"cast(count(*) div {SPLIT} as int)").alias("cuts")), "neardup-main")
+        rest = rest.join(main, "k")
+        few = rest.where("root <> main").select("k", F.explode(F.sequence(F.lit(0), "cuts")).alias("z"), *[F.col(c).alias(f"{c}_x") for c in ("key", "root", "n", "w", "u", "uw", "on", "ow")])
         few = cut(few, "neardup-few")
+        rest = rest.withColumn("z", F.pmod(F.xxhash64("key"), F.col("cuts") + 1).cast("int"))
 
         def reach(all_: str, own: str, first: str) -> Column:
             """Two texts share at most the smaller part of the pivot that they have, and the smaller part besides it that is shared with anyone."""
@@ -295,16 +312,18 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
             most = F.least(x[first], y[first]) + F.least(x[all_] - x[first] - x[own], y[all_] - y[first] - y[own])
             return most >= (least - 1e-6) * (x[all_] + y[all_] - most)
 
-        last = few.join(rest, "k").where((F.col("root_x") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("key_x") > F.col("key"))) & (reach("w", "uw", "ow") | reach("n", "u", "on")))
+        last = few.join(rest, ["k", "z"]).where((F.col("root_x") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("key_x") > F.col("key"))) & (reach("w", "uw", "ow") | reach("n", "u", "on")))
         last = last.select(*ordered(F.col("key_x"), F.col("key"))).distinct()
         last = cut(last.join(tried.unionAll(more), ["a", "b"], "left_anti"), "neardup-tried")
-        links = cut(links.unionAll(check.judged(last).where("linked").select("a", "b")), "neardup-links")
-    roots = components(links)
+        links = cut(links.unionAll(check.judged(last).where("linked").select("a", "b", "weighty")), "neardup-links")
+    roots = components(links.select("a", "b"))
     named = signs.select("doc_id", "key").join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
     named = cut(named, "neardup-named")
     heads = cut(named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id")), "neardup-heads")
-    out = named.join(heads, "root", "left")
-    return out.select("doc_id", F.col("key").alias("text_key"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("node"), "weighty").groupBy("node").agg(F.count("*").alias("n"), F.count_if("weighty").alias("m"))
+    out = named.join(heads, "root", "left").join(cut(ends, "neardup-ends"), F.col("key") == F.col("node"), "left")
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return out.select("doc_id", F.col("key").alias("text_key"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), number("n").alias("links"), number("m").alias("weighted_links"))
 
 
 def kept(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -43,7 +43,7 @@ def op4_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "links", "weighted_links")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

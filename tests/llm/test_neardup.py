@@ -120,3 +120,14 @@ def test_a_large_group_of_near_copies_makes_few_comparisons(spark, monkeypatch):
     for r in got:
         by[r.class_id] += 1
     assert by == {0: 150} and sum(pairs) < 10 * 150
+
+
+def test_links_are_counted(found):
+    texts, rows = found
+    kinds = defaultdict(set)
+    for r in rows:
+        kinds[r.class_id].add(texts[r.doc_id])
+    for r in rows:
+        others = len(kinds[r.class_id]) - 1
+        assert (r.links > 0) == (others > 0 and texts[r.doc_id] is not None) and r.weighted_links <= r.links <= others
+    assert len({(r.text_key, r.links, r.weighted_links) for r in rows}) == len({r.text_key for r in rows})
