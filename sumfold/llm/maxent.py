@@ -7,12 +7,13 @@ features), the word two back, and the class that holds most of the last WINDOW w
 its share (skip features). In a class the most frequent
 words are outcomes of their own; the others share one outcome and, in it, their smoothed
 relative frequencies, so every word and the unknown word have a probability and all add
-up to one. A further outcome of the first factor repeats the last word.
+up to one. A further outcome of the first factor repeats the last word; a repeated word has both its own share and that.
 
 Training: counts of all training tokens give the vocabulary, the classes and the biases.
 Then the training texts, dealt into ROUNDS parts, are passed once: in a round every task
 makes gradient steps on its texts from the round's weights, and the changes are averaged
-by how often each feature occurred. Weights have a fixed size whatever the input.
+by how often each feature occurred. Classes, their own words and feature rows grow with the
+vocabulary (see `sizes`), by default up to 32 by 32 words and 2**16 rows, so that weights stay in a core's cache.
 
 Words outside the HEAD most frequent ones are never held in memory: their counts are
 joined on the executors.
@@ -36,13 +37,21 @@ from pyspark.sql import functions as F
 from sumfold.llm.common import cut, small_batches
 
 END = b" "  # no word
-HEAD, UNITS = 1 << 18, 1 << 12
-CLASSES, MEMBERS = 16, 16  # outcomes of the two factors: 15 classes and the repetition; 15 words and the rest
-TABLE = (1 << 15, 1 << 15)  # feature rows of the two factors
-ROUNDS, RATE, DAMP, CHUNK, TASKS, FLUSH = 3, 0.6, 10.0, 1 << 14, 2048, 400_000
+HEAD, UNITS, SIDE, ROWS = 1 << 18, 1 << 12, 32, 1 << 16
+ROUNDS, RATE, DAMP, CHUNK, FLUSH, MEET = 3, 0.6, 10.0, 1 << 14, 400_000, 8  # 2**MEET tasks' changes meet in one sum
 USED, WINDOW = ([0, 1, 2, 3], [0, 3]), 48  # features of the two factors: the last word, the last two, the word two back, the window
 
 
+def sizes(kinds: int, most_side: int = SIDE, most_rows: int = ROWS) -> tuple[int, int]:
+    """Outcomes of either factor (classes and the repetition; a class's own words and the rest) and feature rows of each, for so many different words."""
+    side, rows = 16, 1 << 15
+    while side < most_side and 256 * side * side < kinds:
+        side *= 2
+    while rows < most_rows and rows < kinds:
+        rows *= 2
+    return side, rows
+
+
 def tokens(text: str | None) -> list[bytes]:
     """Lower-case words, without the end. bytes.lower and bytes.split know just A-Z and ASCII white space."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -74,10 +83,12 @@ def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
 
 @dataclass
 class Vocabulary:
+    side: int  # outcomes of either factor
+    rows: int  # feature rows of each
     words: dict[bytes, int]  # the head words
     counts: np.ndarray  # of the head words
     group: np.ndarray  # class of a head word
-    place: np.ndarray  # its outcome in the class; MEMBERS - 1: the rest
+    place: np.ndarray  # its outcome in the class; the last: the rest
     of_unit: np.ndarray  # class of a spelling unit
     total: int  # training tokens
     kinds: int  # different ones
@@ -86,14 +97,18 @@ class Vocabulary:
     class_tokens: np.ndarray
 
 
-def _classes(words: list[bytes], counts: np.ndarray) -> np.ndarray:
-    """A class for each spelling unit: spherical k-means over the units' character pairs."""
+def _classes(words: list[bytes], counts: np.ndarray, side: int) -> np.ndarray:
+    """A class for each spelling unit: spherical k-means over the character pairs of all the words of a unit, whole."""
     units = np.array([unit(w) for w in words])
-    k, rng, profile = CLASSES - 1, np.random.default_rng(3), np.zeros((UNITS, 256), np.float32)
-    for w, u, c in zip(words[: 1 << 15], units, counts, strict=False):
-        padded = b"<" + w[:24] + b">"
-        for a, b in zip(padded, padded[1:], strict=False):
-            profile[u, (a * 31 + b * 7) & 255] += math.sqrt(c)
+    k, profile = side - 1, np.zeros(UNITS * 256)
+    for a in range(0, len(words), 1 << 14):
+        part = [b"<" + w + b">" for w in words[a : a + (1 << 14)]]
+        n = np.array([len(w) for w in part])
+        x, own = np.frombuffer(b"".join(part), np.uint8).astype(np.int64), np.repeat(np.arange(len(part)), n)
+        inside = own[1:] == own[:-1]
+        pair = ((x[:-1] * 31 + x[1:] * 7) & 255)[inside]
+        profile += np.bincount(units[a : a + (1 << 14)][own[:-1][inside]] * 256 + pair, weights=np.sqrt(counts[a : a + (1 << 14)])[own[:-1][inside]], minlength=len(profile))
+    profile = profile.reshape(UNITS, 256).astype(np.float32)
     norm = np.linalg.norm(profile, axis=1, keepdims=True)
     profile /= np.maximum(norm, 1e-9)
     mass = np.bincount(units, weights=counts, minlength=UNITS)
@@ -107,13 +122,13 @@ def _classes(words: list[bytes], counts: np.ndarray) -> np.ndarray:
     return (profile @ centre.T).argmax(axis=1)
 
 
-def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
+def vocabulary(counts: DataFrame, head: int = HEAD, most_side: int = SIDE, most_rows: int = ROWS) -> Vocabulary:
     """counts: (token, c), written already. Only the words of highest count, at most `head`, come to the driver."""
     step = F.floor(F.log2(F.col("c")) * 16)
-    sizes = sorted(((r.s, r.n) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    steps = sorted(((r.s, r.n) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True)
     whole = counts.agg(F.sum("c").alias("t"), F.count("*").alias("n")).first()
     room, least = head, None
-    for s, n in sizes:
+    for s, n in steps:
         if n > room:
             break
         room, least = room - n, s
@@ -121,36 +136,38 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     rows["token"] = [bytes(x) for x in rows["token"]]
     rows = rows.sort_values(["c", "token"], ascending=[False, True], kind="stable")
     words, c = rows["token"].tolist(), rows["c"].to_numpy(np.int64)
-    of_unit = _classes(words, c) if words else np.zeros(UNITS, np.int64)
+    side, feature_rows = sizes(int(whole.n or 0), most_side, most_rows)
+    of_unit = _classes(words, c, side) if words else np.zeros(UNITS, np.int64)
     group = of_unit[[unit(w) for w in words]] if words else np.zeros(0, np.int64)
-    place, used = np.full(len(words), MEMBERS - 1), np.zeros(CLASSES, int)
+    place, used = np.full(len(words), side - 1), np.zeros(side, int)
     for i, g in enumerate(group):
-        if used[g] < MEMBERS - 1:
+        if used[g] < side - 1:
             place[i], used[g] = used[g], used[g] + 1
 
     def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t, n = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+        t, n = np.zeros(side, np.int64), np.zeros(side, np.int64)
         for pdf in batches:
             g = of_unit[np.array([unit(bytes(w)) for w in pdf["token"]], int)] if len(pdf) else np.zeros(0, int)
             np.add.at(t, g, pdf["c"].to_numpy(np.int64))
             np.add.at(n, g, 1)
-        yield pd.DataFrame({"g": range(CLASSES), "t": t, "n": n})
+        yield pd.DataFrame({"g": range(side), "t": t, "n": n})
 
     by = counts.select("token", "c").mapInPandas(grouped, "g int, t long, n long").groupBy("g").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).collect()
-    all_t, all_n = np.zeros(CLASSES), np.zeros(CLASSES)
+    all_t, all_n = np.zeros(side), np.zeros(side)
     for r in by:
         all_t[r.g], all_n[r.g] = r.t, r.n
-    own = place < MEMBERS - 1
-    rest = all_t - np.bincount(group[own], weights=c[own], minlength=CLASSES)
-    kinds = all_n - np.bincount(group[own], minlength=CLASSES)
-    return Vocabulary({w: i for i, w in enumerate(words)}, c, group, place, of_unit, int(whole.t or 0), int(whole.n or 0), rest, kinds, all_t)
+    own = place < side - 1
+    rest = all_t - np.bincount(group[own], weights=c[own], minlength=side)
+    kinds = all_n - np.bincount(group[own], minlength=side)
+    return Vocabulary(side, feature_rows, {w: i for i, w in enumerate(words)}, c, group, place, of_unit, int(whole.t or 0), int(whole.n or 0), rest, kinds, all_t)
 
 
 class Batch:
     """Texts as arrays: for each token its head index (or -1), class, outcome, features and whether it repeats the last word."""
 
     def __init__(self, v: Vocabulary, texts: list[list[bytes]]):
-        get, n = v.words.get, [len(t) + 1 for t in texts]
+        self.last = v.rows - 1
+        get, n, side = v.words.get, [len(t) + 1 for t in texts], v.side
         flat = list(chain.from_iterable(chain.from_iterable(zip(texts, repeat((END,))))))
         self.flat, self.n = flat, np.array(n)
         self.word = np.fromiter(map(get, flat, repeat(-1)), np.int64, len(flat))
@@ -159,23 +176,23 @@ class Batch:
         h = len(v.counts)
         safe = np.maximum(self.word, 0)
         self.group = v.group[safe] if h else np.zeros(len(flat), np.int64)
-        self.place = v.place[safe] if h else np.full(len(flat), MEMBERS - 1)
-        self.group[tail], self.place[tail] = tail_class, MEMBERS - 1
+        self.place = v.place[safe] if h else np.full(len(flat), side - 1)
+        self.group[tail], self.place[tail] = tail_class, side - 1
         seen = self.word.copy()
         seen[tail] = h + 1 + tail_class  # a rare word counts as its class
         start = np.cumsum(self.n) - self.n
         at = np.arange(len(flat)) - np.repeat(start, self.n)
         before = lambda d: np.where(at >= d, np.concatenate([np.zeros(d, np.int64), seen[:-d]])[: len(seen)], h)
         p1, p2 = before(1), before(2)
-        upto = np.zeros((CLASSES, len(flat) + 1), np.int32)
+        upto = np.zeros((side, len(flat) + 1), np.int32)
         upto[self.group, np.arange(1, len(flat) + 1)] = 1
         np.cumsum(upto, axis=1, out=upto)
         room = np.minimum(at, WINDOW)
         held = upto[:, :-1] - upto.take(np.arange(len(flat)) - room, axis=1)
-        held *= CLASSES
-        held += np.arange(CLASSES - 1, -1, -1, dtype=np.int32)[:, None]
+        held *= side
+        held += np.arange(side - 1, -1, -1, dtype=np.int32)[:, None]
         most = held.max(axis=0)  # a count and, in its last digit, the least class that reaches it
-        window = np.where(at > 0, (CLASSES - 1 - most % CLASSES) * 8 + np.minimum(7, most // CLASSES * 8 // np.maximum(1, room)), -1)
+        window = np.where(at > 0, (side - 1 - most % side) * 8 + np.minimum(7, most // side * 8 // np.maximum(1, room)), -1)
         same = np.zeros(len(flat), bool)
         same[1:] = self.word[1:] == self.word[:-1]
         self.again = same & (at >= 1)
@@ -190,7 +207,7 @@ class Batch:
         f = self.f[USED[level], a:b]
         if level:
             f = (f ^ (self.group[a:b].astype(np.uint64) + np.uint64(1)) * np.uint64(0x94D049BB133111EB)) * np.uint64(0x9E3779B97F4A7C15)
-        return (f >> np.uint64(40)).astype(np.int32) & np.int32(TABLE[level] - 1)
+        return (f >> np.uint64(40)).astype(np.int32) & np.int32(self.last)
 
 
 @dataclass
@@ -218,23 +235,23 @@ class Weights:
 
 def start_weights(v: Vocabulary) -> Weights:
     """Relative frequencies as biases, no features yet."""
-    first = np.append((v.class_tokens[: CLASSES - 1] + 0.5), 0.001 * max(1, v.total))
-    second = np.full((CLASSES, MEMBERS), 1e-9)
-    own = v.place < MEMBERS - 1
+    first = np.append((v.class_tokens[: v.side - 1] + 0.5), 0.001 * max(1, v.total))
+    second = np.full((v.side, v.side), 1e-9)
+    own = v.place < v.side - 1
     np.add.at(second, (v.group[own], v.place[own]), v.counts[own])
     second[:, -1] = np.maximum(v.rest, 0) + 0.5
     log = lambda x: np.log(x / x.sum(axis=-1, keepdims=True)).astype(np.float32)
-    return Weights((log(first), log(second)), [np.zeros((n, k), np.float32) for n, k in zip(TABLE, (CLASSES, MEMBERS), strict=True)])
+    return Weights((log(first), log(second)), [np.zeros((v.rows, v.side), np.float32) for _ in range(2)])
 
 
 class Learner:
     def __init__(self, v: Vocabulary, w: Weights):
         self.v, self.w = v, Weights(w.bias, [t.copy() for t in w.table])
-        self.square, self.used = [np.full(n, DAMP, np.float32) for n in TABLE], [np.zeros(n, np.int64) for n in TABLE]
+        self.square, self.used = [np.full(v.rows, DAMP, np.float32) for _ in range(2)], [np.zeros(v.rows, np.int64) for _ in range(2)]
 
     def learn(self, texts: list[list[bytes]]) -> None:
         b = Batch(self.v, texts)
-        goal = np.where(b.again, CLASSES - 1, b.group)
+        goal = np.where(b.again, self.v.side - 1, b.group)
         for a in range(0, len(goal), CHUNK):
             self.step(0, b.rows(0, a, a + CHUNK), goal[a : a + CHUNK], b.group[a : a + CHUNK])
             self.step(1, b.rows(1, a, a + CHUNK), b.place[a : a + CHUNK], b.group[a : a + CHUNK])
@@ -244,7 +261,7 @@ class Learner:
         _, g, sums = self.w.logits(level, rows, group)
         g /= sums[:, None]
         g[np.arange(len(goal)), goal] -= 1
-        flat, k = rows.ravel().astype(np.uint16), g.shape[1]
+        flat, k = rows.ravel().astype(np.uint16 if self.v.rows <= 1 << 16 else np.uint32), g.shape[1]
         order = np.argsort(flat, kind="stable")  # a radix sort for 16 bits
         here = flat[order]
         start = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]]))
@@ -276,25 +293,34 @@ def _round(docs: DataFrame, v, w: Weights) -> Weights:
         out = []
         for level in (0, 1):
             change = one.w.table[level] - sent.value.table[level]
-            for a in range(0, TABLE[level], per):
+            for a in range(0, len(change), per):
                 used = one.used[level][a : a + per]
                 if used.any():
-                    out.append((level, a, used.astype("<i8").tobytes(), change[a : a + per].astype("<f2").tobytes()))
-        yield pd.DataFrame(out, columns=["level", "a", "used", "change"])
+                    out.append((level, a, TaskContext.get().partitionId() >> MEET, used.astype("<i8").tobytes(), change[a : a + per].astype("<f2").tobytes()))
+        yield pd.DataFrame(out, columns=["level", "a", "part", "used", "change"])
 
-    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, change = np.zeros(per), 0.0
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Changes by the root of their use, and those roots: of single tasks, or sums of such sums."""
+        n, change = np.zeros(per, np.float32), 0.0
         for u, c in zip(pdf["used"], pdf["change"], strict=True):
-            n = np.sqrt(np.frombuffer(u, "<i8"))
-            used, change = used + n, change + np.frombuffer(c, "<f2").reshape(per, -1).astype(np.float32) * n[:, None]
-        return pd.DataFrame({"level": pdf["level"][:1], "a": pdf["a"][:1], "change": [(change / np.maximum(used, 1)[:, None]).astype("<f4").tobytes()]})
-
-    got = docs.coalesce(TASKS).mapInPandas(passed, "level int, a int, used binary, change binary").groupBy("level", "a").applyInPandas(merged, "level int, a int, change binary")
-    out = [t.copy() for t in w.table]
-    for r in got.collect():  # the weights, of fixed size
-        out[r.level][r.a : r.a + per] += np.frombuffer(r.change, "<f4").reshape(per, -1)
+            if len(u) == 8 * per:
+                root = np.sqrt(np.frombuffer(u, "<i8")).astype(np.float32)
+                n, change = n + root, change + np.frombuffer(c, "<f2").reshape(per, -1).astype(np.float32) * root[:, None]
+            else:
+                n, change = n + np.frombuffer(u, "<f4"), change + np.frombuffer(c, "<f4").reshape(per, -1)
+        return pdf[["level", "a"]][:1].assign(part=int(pdf["part"].iloc[0]) >> MEET, used=[n.tobytes()], change=[change.astype("<f4").tobytes()])
+
+    schema = "level int, a int, part int, used binary, change binary"
+    got = docs.mapInPandas(passed, schema)
+    for _ in range(2):  # after this, a row for 2**(2 * MEET) tasks
+        got = got.groupBy("level", "a", "part").applyInPandas(summed, schema)
+    total = [(np.zeros((len(t), 1), np.float32), np.zeros_like(t)) for t in w.table]
+    for r in got.collect():  # the weights, of bounded size
+        n, change = total[r.level]
+        n[r.a : r.a + per, 0] += np.frombuffer(r.used, "<f4")
+        change[r.a : r.a + per] += np.frombuffer(r.change, "<f4").reshape(per, -1)
     sent.unpersist()
-    return Weights(w.bias, out)
+    return Weights(w.bias, [t + change / np.maximum(n, 1) for t, (n, change) in zip(w.table, total, strict=True)])
 
 
 @dataclass
@@ -304,12 +330,12 @@ class Model:
     counts: DataFrame  # token, c of all training tokens
 
 
-def train(docs: DataFrame, keep: Column, doc_id: str = "doc_id", text: str = "text", head: int = HEAD, rounds: int = ROUNDS) -> Model:
+def train(docs: DataFrame, keep: Column, doc_id: str = "doc_id", text: str = "text", head: int = HEAD, rounds: int = ROUNDS, most_side: int = SIDE, most_rows: int = ROWS) -> Model:
     """Learn from the rows of docs for which keep holds. Null texts have just an end; repeated rows count each."""
     small_batches(docs.sparkSession)
     used = docs.where(F.coalesce(keep, F.lit(False)))
     counts = cut(count_tokens(used, text), "lm-counts")
-    v = vocabulary(counts, head)
+    v = vocabulary(counts, head, most_side, most_rows)
     w = start_weights(v)
     sent = docs.sparkSession.sparkContext.broadcast(v)
     part = F.pmod(F.xxhash64(F.lit("round"), F.col(doc_id).cast("string")), F.lit(rounds))
@@ -318,22 +344,41 @@ def train(docs: DataFrame, keep: Column, doc_id: str = "doc_id", text: str = "te
     return Model(v, w, counts)
 
 
+def token_logs(v: Vocabulary, w: Weights, b: Batch) -> tuple[np.ndarray, np.ndarray]:
+    """For each token: its log probability and, of words outside the head, a number r. Such a word's probability is the first's exponential times its count plus a half plus r."""
+    ln_c = np.log(v.counts + 0.5) if len(v.counts) else np.zeros(1)
+    ln_rest = np.log(v.rest + 0.5 * (v.rest_kinds + 1))
+    out, ratio = np.empty(len(b.word)), np.zeros(len(b.word))
+    for a in range(0, len(out), CHUNK):
+        group, place, word, again = (x[a : a + CHUNK] for x in (b.group, b.place, b.word, b.again))
+        p, repeat = w.log_share(0, b.rows(0, a, a + CHUNK), group, (group, np.full(len(group), v.side - 1)))
+        p += w.log_share(1, b.rows(1, a, a + CHUNK), group, (place,))[0]
+        shared = place == v.side - 1
+        p[shared] -= ln_rest[group[shared]]
+        known = shared & (word >= 0)
+        p[known] += ln_c[word[known]]
+        rare = again & (word < 0)
+        ratio[a : a + CHUNK][rare] = np.exp(repeat[rare] - p[rare])
+        out[a : a + CHUNK] = np.where(again & (word >= 0), np.logaddexp(p, repeat), p)
+    return out, ratio
+
+
 def score(docs: DataFrame, model: Model, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; log10 probabilities.
 
-    base_score is the unigram model with half a count added to every word and to the unknown one.
+    A null or empty text is its end alone; repeated rows are scored each and equal texts alike; of equally frequent words the
+    first in byte order is an outcome of its own; an empty table gives no rows, and a model of nothing scores all words alike. base_score is the unigram model with half a count added to every word and to the unknown one.
     """
     v, spark = model.vocabulary, docs.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast((v, model.weights))
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("t"))
-    names = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "again"]
+    names = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "more"]
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v, w = sent.value
         rid = TaskContext.get().partitionId() << 40
         ln_c = np.log(v.counts + 0.5) if len(v.counts) else np.zeros(1)
-        ln_rest = np.log(v.rest + 0.5 * (v.rest_kinds + 1))
         for pdf in batches:
             todo, n, start = [], 0, 0
             for i, t in enumerate(pdf["t"]):
@@ -342,42 +387,30 @@ def score(docs: DataFrame, model: Model, held_out: Column, doc_id: str = "doc_id
                 if n < 4 * CHUNK and i + 1 < len(pdf):
                     continue
                 b = Batch(v, todo)
-                ln_p = np.empty(len(b.word))
-                for a in range(0, len(ln_p), CHUNK):
-                    group, place, word = b.group[a : a + CHUNK], b.place[a : a + CHUNK], b.word[a : a + CHUNK]
-                    p, repeat = w.log_share(0, b.rows(0, a, a + CHUNK), group, (group, np.full(len(group), CLASSES - 1)))
-                    p += w.log_share(1, b.rows(1, a, a + CHUNK), group, (place,))[0]
-                    shared = place == MEMBERS - 1
-                    p[shared] -= ln_rest[group[shared]]
-                    known = shared & (word >= 0)
-                    p[known] += ln_c[word[known]]
-                    again = b.again[a : a + CHUNK]
-                    p = np.where(again, np.where(word >= 0, np.logaddexp(p, repeat), repeat), p)
-                    ln_p[a : a + CHUNK] = p
+                ln_p, ratio = token_logs(v, w, b)
                 at, known = np.cumsum(b.n) - b.n, b.word >= 0
                 base = np.where(known, ln_c[np.maximum(b.word, 0)], 0.0)
                 tail = np.flatnonzero(~known)
                 owner = np.searchsorted(np.cumsum(b.n), tail, side="right")
                 rare: list[list[bytes]] = [[] for _ in todo]
-                again: list[list[bool]] = [[] for _ in todo]
+                more: list[list[float]] = [[] for _ in todo]
                 for j, o in zip(tail.tolist(), owner.tolist(), strict=True):
                     rare[o].append(b.flat[j])
-                    again[o].append(bool(b.again[j]))
+                    more[o].append(ratio[j])
                 part = pdf.iloc[start : i + 1]
-                yield pd.DataFrame({"rid": rid + np.arange(len(todo)), "doc_id": part["doc_id"].to_numpy(), "held_out": part["held_out"].to_numpy(), "n_tokens": b.n, "n_known": np.add.reduceat(known.astype(np.int64), at), "base": np.add.reduceat(base, at), "score": np.add.reduceat(ln_p, at), "rare": rare, "again": again})[names]
+                yield pd.DataFrame({"rid": rid + np.arange(len(todo)), "doc_id": part["doc_id"].to_numpy(), "held_out": part["held_out"].to_numpy(), "n_tokens": b.n, "n_known": np.add.reduceat(known.astype(np.int64), at), "base": np.add.reduceat(base, at), "score": np.add.reduceat(ln_p, at), "rare": rare, "more": more})[names]
                 rid, start, todo, n = rid + len(todo), i + 1, [], 0
 
     kind = dict(docs.select(F.col(doc_id).alias("doc_id")).dtypes)["doc_id"]
-    schema = f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<binary>, again array<boolean>"
+    schema = f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<binary>, more array<double>"
     rows = cut(rows.mapInPandas(scored, schema), "lm-scored")
-    rare = rows.select("rid", F.inline(F.arrays_zip(F.col("rare").alias("token"), F.col("again").alias("again"))))
-    rare = rare.join(model.counts.where("token is not null"), "token", "left").groupBy("rid").agg(
-        F.count("c").alias("more"), F.sum(F.log(F.coalesce("c", F.lit(0)) + 0.5)).alias("ln"), F.sum(F.when(F.col("again"), 0.0).otherwise(F.log(F.coalesce("c", F.lit(0)) + 0.5))).alias("ln_new")
-    )
-    out = rows.drop("rare", "again").join(rare, "rid", "left")
+    rare = rows.select("rid", F.inline(F.arrays_zip(F.col("rare").alias("token"), F.col("more").alias("r"))))
+    half = F.coalesce("c", F.lit(0)) + 0.5
+    rare = rare.join(model.counts.where("token is not null"), "token", "left").groupBy("rid").agg(F.count("c").alias("also"), F.sum(F.log(half)).alias("ln"), F.sum(F.log(half + F.col("r"))).alias("ln_new"))
+    out = rows.drop("rare", "more").join(rare, "rid", "left")
     ten, norm = F.lit(math.log(10)), math.log(v.total + 0.5 * (v.kinds + 1))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("more")).cast("long").alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("also")).cast("long").alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"),
         ((F.col("base") + zero("ln") - F.col("n_tokens") * F.lit(norm)) / ten).alias("base_score"), ((F.col("score") + zero("ln_new")) / ten).alias("score"),
     )

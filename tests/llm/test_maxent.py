@@ -45,20 +45,50 @@ def test_model_learns_and_probabilities_add_up(spark):
     model = maxent.train(docs, ~held)
     got = maxent.score(docs, model, held).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
     assert got.s > got.b + 0.1 * got.n  # a tenth of a decade for each token at least
-    # all continuations of a context: known words and the unknown one
+    for context in ([b"the", b"of"], [b"la"], [b"zz"], [b"le", b"zz", b"zz"]):
+        assert mass(model, context) == pytest.approx(1, abs=1e-5)
+
+
+def probability(model, counts, context, word):
+    """Of one word after a context, or of an unknown word of each class if word is a class."""
     v, w = model.vocabulary, model.weights
-    total = 0.0
-    for word in [*v.words, *[b"zz%d" % j for j in range(60)]]:
-        b = maxent.Batch(v, [[b"the", b"of", word]])
-        at = 2
-        first = w.log_share(0, b.rows(0, 0, 4), b.group, (b.group,))[0][at]
-        inside = w.log_share(1, b.rows(1, 0, 4), b.group, (b.place,))[0][at]
-        if word in v.words:
-            share = first + inside
-            if b.place[at] == maxent.MEMBERS - 1:
-                share += np.log(v.counts[v.words[word]] + 0.5) - np.log(v.rest[b.group[at]] + 0.5 * (v.rest_kinds[b.group[at]] + 1))
-            total += np.exp(share)
-    assert 0.5 < total <= 1.0
+    b, at = maxent.Batch(v, [[*context, b"\x01" if isinstance(word, int) else word]]), len(context)
+    if isinstance(word, int):
+        b.group[at], b.place[at], b.word[at], b.again[at] = word, v.side - 1, -1, False
+    log, ratio = maxent.token_logs(v, w, b)
+    if b.word[at] >= 0:
+        return math.exp(log[at])
+    return math.exp(log[at]) * ((0 if isinstance(word, int) else counts.get(word, 0)) + 0.5 + ratio[at])
+
+
+def mass(model, context):
+    """Of all that can follow: known words, the end among them, an unknown word of each class, and the last word if it is unknown."""
+    counts = {bytes(r.token): r.c for r in model.counts.collect()}
+    total = sum(probability(model, counts, context, x) for x in [*counts, *range(model.vocabulary.side - 1)])
+    if context[-1] not in counts:  # its share as an unknown word is counted already
+        total += probability(model, counts, context, context[-1]) - 0.5 * math.exp(maxent.token_logs(model.vocabulary, model.weights, maxent.Batch(model.vocabulary, [[*context, context[-1]]]))[0][len(context)])
+    return total
+
+
+@pytest.mark.parametrize("head", [maxent.HEAD, 6, 0])
+def test_scores_equal_brute_force(spark, head):
+    texts = [*odd_texts(), *[prose(30, s) + f" rare{s} rare{s} Rare{s % 3} rare{s % 3} ÄÖ ÄÖ" for s in range(30)], "new new new known"]
+    docs = frame(spark, texts)
+    held = F.coalesce(crc_mod("doc_id", 5) == 1, F.lit(False))
+    model = maxent.train(docs, ~held, head=head, rounds=1)
+    counts = {bytes(r.token): r.c for r in model.counts.collect()}
+    for context in ([b"river", b"stone"], [b"rare1", b"rare1"], [b"never"]):
+        assert mass(model, context) == pytest.approx(1, abs=1e-5)
+    for r in maxent.score(docs, model, held).collect():
+        words = [*maxent.tokens(texts[r.doc_id]), maxent.END]
+        if len(words) < 60:
+            assert r.score == pytest.approx(sum(math.log10(probability(model, counts, words[:k], x)) for k, x in enumerate(words)), abs=1e-4)
+
+
+def test_sizes_grow_with_the_vocabulary():
+    got = [maxent.sizes(n, 64, 1 << 20) for n in (0, 10**4, 10**5, 10**6, 10**9)]
+    assert got[0] == (16, 1 << 15) and got[-1] == (64, 1 << 20) and got == sorted(got) and len(set(got)) == 3
+    assert maxent.sizes(10**9) == (maxent.SIDE, maxent.ROWS)
 
 
 def test_empty_table(spark):
