@@ -6,14 +6,13 @@ the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumfold.llm import langid, mixing, neardup, pack, secrets
-from sumfold.llm.common import shared_dir, table
+from sumfold.llm.common import mark, stored, sweep, table
+from sumfold.sources.tables import spread
 
 MAX_ROUNDS = 2.0
 
@@ -54,9 +53,10 @@ STAGES = [("language", language), ("near_dedup", near_dedup), ("secrets", secret
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. A stage's table and intermediate tables go once the next one's is written; the rest go with the application."""
+    docs = spread(table(spark, sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        before = mark()
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        sweep(spark, max(0, before - (name != STAGES[0][0])), but=1)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sumfold.operators import exact, knn, lsh, minhash
 from sumfold.plans.registry import query
-from sumfold.sources.tables import table
+from sumfold.sources.tables import spread, table
 
 PERMS = 32
 
@@ -18,7 +18,7 @@ def _words(text="text"):
 
 def _docs(spark, d):
     """(key, words) of all documents."""
-    return table(spark, d, "documents").select(F.col("doc_id").alias("key"), _words().alias("words"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("key"), _words().alias("words"))
 
 
 def _signed(df):
@@ -48,7 +48,7 @@ def minhash_signatures(spark, d):
 
 @query(_cells("documents", "lang"))
 def minhash_merge_union(spark, d):
-    docs = table(spark, d, "documents").select("lang", _words().alias("words"))
+    docs = spread(table(spark, d, "documents").select("lang", "text")).select("lang", _words().alias("words"))
     return minhash.merge_rows(_signed(docs), "sig", ("lang",)).select(F.col("lang").alias("key"), F.posexplode("sig").alias("pos", "h"))
 
 

@@ -11,6 +11,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt evenly over the cores if its rows lie in fewer splits than there are cores, as those of a small file of one row group do.
+
+    Tables with rows in at least as many splits, so all large ones, are not shuffled. One look at the splits' sizes, without any column.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    used = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    return df.repartition(cores) if 0 < used < cores else df
+
+
 def read(spark: SparkSession, path: str, form: str = "parquet", schema: str | None = None, **options) -> DataFrame:
     """Parquet, ORC, JSON, CSV or text. CSV and JSON need a schema, so nothing is read twice to infer one."""
     if form in ("csv", "json") and schema is None:
