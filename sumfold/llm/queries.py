@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 
 from sumfold.llm import hilbert, html, langid, maxent, mixing, neardup, pack, secrets, topk, twins, winnow
 from sumfold.llm.common import crc_mod, table
+from sumfold.sources.tables import spread
 
 SHARDS = 24
 MAX_ROUNDS, FLATTEN = 4.0, 0.5  # op3: no source is repeated more than four times, the entropy goes half of the way to that of equal weights
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     held_out = F.coalesce(crc_mod("doc_id", 5) == 1, F.lit(False))
     return maxent.score(docs, maxent.train(docs, ~held_out), held_out)
 
@@ -33,7 +38,7 @@ def op3_temperature_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     found = secrets.scan(docs, secrets.train(secrets.labelled_samples(docs)))
     base = F.filter("secret_spans", lambda s: s["kind"] < 3)
     n = lambda k: F.size(F.filter("secret_spans", lambda s: s["kind"] == k)).cast("long")
@@ -43,11 +48,11 @@ def op4_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "links", "weighted_links")
+    return neardup.classes(_documents(spark, sf_dir)).select("doc_id", "class_id", "links", "weighted_links")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack.pack(pack.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+    return pack.pack(pack.pieces(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +69,7 @@ def op9_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
     model = langid.fit(docs, ~held_out)
     out = langid.identify(docs.select("doc_id", "text"), model)

@@ -117,7 +117,8 @@ def markov_spans(text: Column, llr: list[float], threshold: float = THRESHOLD) -
 def scan(docs: DataFrame, llr: list[float], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs plus `secret_spans`: base spans, then Markov spans that touch none of them, by start and kind.
 
-    Row-local: no shuffle, every row and column is kept.
+    Row-local: no shuffle, every row and column is kept, but for a column of that name, which is replaced. Null and empty texts have no spans,
+    repeated rows have theirs each; spans that start together stand in order of kind; an empty table gives no rows.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     with_base = docs.withColumn("_sf_base", base_spans(t)).withColumn("_sf_more", markov_spans(t, llr, threshold))

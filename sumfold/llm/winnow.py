@@ -18,7 +18,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sumfold.llm.common import partitions, small_batches
+from sumfold.llm.common import ranges, small_batches
 
 K, W = 24, 41
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -85,14 +85,15 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def fingerprints(df: DataFrame, text: str = "text", k: int = K, w: int = W) -> DataFrame:
-    """df plus `fingerprint` (see packed). Row-local: no shuffle, rows and other columns are kept."""
+def fingerprints(df: DataFrame, text: str = "text", k: int = K, w: int = W, into: str = "fingerprint") -> DataFrame:
+    """df plus the column `into` (see packed), which replaces one of that name. Row-local: no shuffle, rows and other columns are kept; null and empty texts give an empty string."""
+    small_batches(df.sparkSession)
 
     @F.pandas_udf("string")
     def of(s: pd.Series) -> pd.Series:
         return pd.Series([packed(winnow(x, k, w)) for x in s], dtype="object")
 
-    return df.withColumn("fingerprint", of(F.col(text)))
+    return df.withColumn(into, of(F.col(f"`{text}`")))
 
 
 def edited(text: str, following: str) -> str:
@@ -109,17 +110,17 @@ def successor_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str =
 
     The next document follows in descending doc_id; the last is followed by the first, a
     single document by itself. Null texts count as empty, null ids come last, rows with
-    one id stand in order of text. The rows are dealt once into id ranges (quantile cut
-    points over the ids alone); each range also gets the first document of the range
-    after it, so no task sees more than its range and one row.
+    one id stand in order of text, repeated rows one after the other; an empty table gives no rows. The rows are dealt
+    once into id ranges (quantile cut points over the ids alone, as many as the bytes of all texts ask for); each range also gets the
+    first document of the range after it, so no task sees more than its range and one row. Rows of one id lie in one range.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    n = partitions(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("i"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    n = ranges(spark, rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0)
     rows = rows.withColumn("key", F.coalesce("i", F.lit(-(1 << 63))))
     at = [(j + 1) / n for j in range(n - 1)]
-    cuts = rows.agg(F.percentile_approx("key", at, 10_000).alias("c")).first().c if at else []
+    cuts = rows.agg(F.percentile_approx("key", at, max(10_000, 10 * n)).alias("c")).first().c if at else []
     splits = [-float("inf"), *sorted({float(c) for c in cuts or [0]}), float("inf")]
     by = Bucketizer(splits=splits, inputCol="d", outputCol="b")
 

@@ -50,3 +50,15 @@ def test_run(spark, tmp_path):
 
 def test_prose_is_deterministic():
     assert prose(5, 1) == prose(5, 1)
+
+
+def test_empty_and_odd_tables(spark, tmp_path):
+    from tests.llm.helpers import odd_texts
+
+    frame(spark, []).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
+    texts = [*odd_texts(), "one more text of a few words"]
+    frame(spark, texts, ids=[*range(len(texts) - 2), None, 5], langs=[None] * len(texts)).write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    lettered = {i for i, t in enumerate(texts[:-2]) if t and any(c.isalpha() for c in t)}
+    assert {r.doc_id for r in rows} - {None} == lettered - {6}  # 6 repeats 5; without labels nothing else is rejected
