@@ -1,5 +1,8 @@
 """Best-fit packing of token sequences, bulk-synchronous.
 
+`pack` matches runs of equal documents with runs of equal gaps, which takes a count for each size
+only. `pack_by_sweeps` matches documents one by one, as DataFrame jobs:
+
 Documents are taken in classes of falling size. A superstep range-sorts the documents of a
 class that are still unplaced, together with the gaps of all open sequences, by falling
 size and matches every document with its successor, the least free gap that holds it:
@@ -18,6 +21,7 @@ often. Supersteps are DataFrame jobs; the driver sees counts by size, by range a
 
 from __future__ import annotations
 
+import bisect
 import json
 import os
 import re
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 
 from sumfold.llm.common import cut, small_batches
 
-CAPACITY, FINE, ROW_BYTES, RANGE = 2048, 6, 64, 4 << 20
+CAPACITY, FINE, ROW_BYTES, RANGE, RANKED = 2048, 6, 64, 4 << 20, 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -191,7 +195,7 @@ def _superstep(todo: DataFrame, gaps: DataFrame, n: int, k: int, least: int, mos
     return matched, left, cut(gaps, "pack-gaps"), missed
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack_by_sweeps(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset (gapless in each sequence) to rows as `pieces` gives them.
 
     Lengths are from 1 to the capacity. Equal lengths are told apart by id, piece and checksum, repeated rows are packed
@@ -228,3 +232,77 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         out = out.unionAll(part)
     own = F.when(~F.col("nameless"), F.col("doc_id")).alias("doc_id")
     return out.select(own, *_names(PIECES)[1:], "sequence_id", (F.lit(capacity) - F.col("room") + F.col("inside")).alias("offset"))
+
+
+def best_fit_plan(counts: dict[int, int], capacity: int) -> np.ndarray:
+    """Places for runs of documents: rows of (size, first rank, documents, first sequence, documents in each sequence, offset of the first).
+
+    Best fit with documents in descending size. A gap that holds m documents of the size takes
+    m of them before the next gap is touched, as best fit does one by one.
+    """
+    sizes: list[int] = []  # gap sizes that occur, sorted
+    gaps: dict[int, list[tuple[int, int]]] = {}  # size: runs of sequences (first, how many)
+    plan, opened = [], 0
+
+    def leave(size: int, first: int, n: int) -> None:
+        if size and n:
+            if size not in gaps:
+                gaps[size] = []
+                bisect.insort(sizes, size)
+            gaps[size].append((first, n))
+
+    for size in sorted(counts, reverse=True):
+        rank, left = 0, counts[size]
+        while left:
+            at = bisect.bisect_left(sizes, size)
+            gap = sizes[at] if at < len(sizes) else capacity
+            per = gap // size
+            want = max(1, left // per)
+            if at < len(sizes):
+                first, n = gaps[gap].pop()
+                if not gaps[gap]:
+                    del gaps[gap], sizes[at]
+                if n > want:
+                    leave(gap, first + want, n - want)
+                    n = want
+            else:
+                first, n = opened, want
+                opened += n
+            placed = min(left, n * per)
+            plan.append((size, rank, placed, first, per, capacity - gap))
+            leave(gap - size * min(per, placed), first, n)
+            rank, left = rank + placed, left - placed
+    return np.array(plan, np.int64).reshape(-1, 6)
+
+
+def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Adds sequence_id and offset (gapless in each sequence) to rows as `pieces` gives them: the same matching over runs of equal sizes and equal gaps.
+
+    The plan's supersteps see one count for each size, so they run on the driver; documents are ranked and placed on the executors. An empty table gives no rows. Ranks within a size are counted by hashed buckets of about RANKED rows, so a size that
+    holds a third of all rows is no single task. Repeated rows are packed each.
+    """
+    spark = parts.sparkSession
+    parts = cut(parts, "pack-pieces")
+    n = max(1, parts.count() // RANKED)
+    keyed = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(n)))
+    sizes = cut(keyed.groupBy("length", "bucket").agg(F.count("*").alias("n")), "pack-sizes")  # sizes times buckets
+    counts = {r.length: r.n for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # a row for each size
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")
+    order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
+    ranked = keyed.withColumn("in_bucket", F.row_number().over(order) - 1)
+    ranked = ranked.join(sizes.select("length", "bucket", before.alias("before")), ["length", "bucket"])
+    plan = best_fit_plan(counts, capacity)
+    plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
+    sent = spark.sparkContext.broadcast(plan)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plan = sent.value
+        keys = (plan[:, 0] << 44) + plan[:, 1]
+        for pdf in batches:
+            size, rank = pdf["length"].to_numpy(np.int64), pdf["rank"].to_numpy(np.int64)
+            row = plan[np.searchsorted(keys, (size << 44) + rank, side="right") - 1] if len(plan) else np.zeros((0, 6), np.int64)
+            t = rank - row[:, 1]
+            yield pdf.drop(columns="rank").assign(sequence_id=row[:, 3] + t // row[:, 4], offset=row[:, 5] + t % row[:, 4] * size)
+
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("in_bucket")).alias("rank"))
+    return ranked.mapInPandas(place, PIECES + ", sequence_id long, offset long")

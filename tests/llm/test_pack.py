@@ -1,4 +1,3 @@
-import bisect
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -16,47 +15,6 @@ from tests.llm.helpers import frame, odd_texts, prose
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def best_fit_plan(counts: dict[int, int], capacity: int) -> np.ndarray:
-    """Places for runs of documents: rows of (size, first rank, documents, first sequence, documents in each sequence, offset of the first).
-
-    Best fit with documents in descending size. A gap that holds m documents of the size takes
-    m of them before the next gap is touched, as best fit does one by one.
-    """
-    sizes: list[int] = []  # gap sizes that occur, sorted
-    gaps: dict[int, list[tuple[int, int]]] = {}  # size: runs of sequences (first, how many)
-    plan, opened = [], 0
-
-    def leave(size: int, first: int, n: int) -> None:
-        if size and n:
-            if size not in gaps:
-                gaps[size] = []
-                bisect.insort(sizes, size)
-            gaps[size].append((first, n))
-
-    for size in sorted(counts, reverse=True):
-        rank, left = 0, counts[size]
-        while left:
-            at = bisect.bisect_left(sizes, size)
-            gap = sizes[at] if at < len(sizes) else capacity
-            per = gap // size
-            want = max(1, left // per)
-            if at < len(sizes):
-                first, n = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap], sizes[at]
-                if n > want:
-                    leave(gap, first + want, n - want)
-                    n = want
-            else:
-                first, n = opened, want
-                opened += n
-            placed = min(left, n * per)
-            plan.append((size, rank, placed, first, per, capacity - gap))
-            leave(gap - size * min(per, placed), first, n)
-            rank, left = rank + placed, left - placed
-    return np.array(plan, np.int64).reshape(-1, 6)
-
-
 def one_by_one(sizes, capacity):
     """Best fit with descending sizes: how many sequences."""
     gaps = []
@@ -75,7 +33,7 @@ def one_by_one(sizes, capacity):
 @settings(max_examples=200, deadline=None)
 def test_plan_is_best_fit(sizes):
     counts = Counter(sizes)
-    plan = best_fit_plan(counts, 40)
+    plan = pack.best_fit_plan(counts, 40)
     placed, fill = Counter(), defaultdict(list)
     for size, rank, n, first, per, offset in plan.tolist():
         for t in range(n):
@@ -99,12 +57,13 @@ def test_ids_equal_the_tokenizer(spark):
         assert enc.ids(t) == enc.tokenizer.encode(t, add_special_tokens=False).ids
 
 
-def test_pieces_and_sequences(spark):
+@pytest.mark.parametrize("packed", [pack.pack, pack.pack_by_sweeps])
+def test_pieces_and_sequences(spark, packed):
     texts = [*odd_texts(), *[prose(3 + 7 * s, s) for s in range(60)], *["the same short text"] * 30]
     ids = [*range(len(texts) - 2), None, 4]
     docs = frame(spark, texts, ids)
     enc = pack.Encoder(PATH)
-    got = pack.pack(pack.pieces(docs, PATH, 64), 64).collect()
+    got = packed(pack.pieces(docs, PATH, 64), 64).collect()
     want = Counter()
     for i, t in zip(ids, texts, strict=True):
         x = np.array([*enc.ids(t or ""), 0], "<u4")
@@ -125,11 +84,13 @@ def test_pieces_and_sequences(spark):
     assert len(by) == one_by_one([r.length for r in got], 64)
 
 
-def test_many_ranges(spark, monkeypatch):
+@pytest.mark.parametrize("packed", [pack.pack, pack.pack_by_sweeps])
+def test_many_ranges_and_buckets(spark, monkeypatch, packed):
     monkeypatch.setattr(pack, "RANGE", 4000)
+    monkeypatch.setattr(pack, "RANKED", 20)
     rng = random.Random(1)
     rows = [(i, 0, 0, 7 if i % 3 == 0 else rng.randint(1, 16), i) for i in range(500)]
-    got = pack.pack(spark.createDataFrame(rows, pack.PIECES), 16).collect()
+    got = packed(spark.createDataFrame(rows, pack.PIECES), 16).collect()
     fill = defaultdict(int)
     for r in got:
         fill[r.sequence_id] += r.length
@@ -140,14 +101,14 @@ def test_many_ranges(spark, monkeypatch):
 @pytest.mark.parametrize("sizes", [[16] * 40, [1] * 300, [9] * 20 + [7] * 20, [6] * 50, [5, 11] * 30 + [1] * 17, [16 - i % 16 for i in range(160)]])
 def test_as_few_sequences_as_best_fit(spark, sizes):
     rows = [(None if i % 5 == 0 else i, 0, 0, s, 3) for i, s in enumerate(sizes)]
-    got = pack.pack(spark.createDataFrame(rows, pack.PIECES), 16).collect()
+    got = pack.pack_by_sweeps(spark.createDataFrame(rows, pack.PIECES), 16).collect()
     assert Counter(tuple(r)[:5] for r in got) == Counter(rows)
     fill = defaultdict(list)
     for r in got:
         fill[r.sequence_id].append((r.offset, r.length))
     for parts in fill.values():
         assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 16
-    plan = best_fit_plan(Counter(sizes), 16)
+    plan = pack.best_fit_plan(Counter(sizes), 16)
     assert len(fill) == one_by_one(sizes, 16) == len({f + t // p for _, _, n, f, p, _ in plan.tolist() for t in range(n)})
 
 
@@ -171,4 +132,4 @@ def test_sweep_of_a_range_takes_successors(monkeypatch):
 
 
 def test_empty_table(spark):
-    assert pack.pack(pack.pieces(frame(spark, []), PATH)).collect() == []
+    assert pack.pack(pack.pieces(frame(spark, []), PATH)).collect() == [] == pack.pack_by_sweeps(pack.pieces(frame(spark, []), PATH)).collect()
