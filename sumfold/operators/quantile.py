@@ -7,6 +7,7 @@ one task.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,10 +157,49 @@ def _frame(held: dict, keys: tuple[str, ...]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[*keys, "n", "low", "high", "centroids"])
 
 
+CELL_ROWS, MOST_CELLS = 1_000_000, 256
+
+
+def _cell(cuts: list[float], x: Column, first: int = 0) -> Column:
+    """How many cuts are below x, by halving; cuts ascend."""
+    if not cuts:
+        return F.lit(first)
+    m = len(cuts) // 2
+    return F.when(x <= F.lit(cuts[m]), _cell(cuts[:m], x, first)).otherwise(_cell(cuts[m + 1 :], x, first + m + 1))
+
+
 def exact_quantiles(df: DataFrame, value: str, qs: dict[str, float], keys: tuple[str, ...] = ()) -> DataFrame:
-    """Exact quantiles, interpolated between neighbours."""
-    got = F.percentile(value, list(qs.values()))
-    return df.groupBy(*keys).agg(got.alias("_q")).select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(qs)])
+    """Exact quantiles, interpolated between neighbours; null for a group without values.
+
+    Values are counted first, then counts are cumulated in two levels: over cells of the value's range (about
+    CELL_ROWS rows each, MOST_CELLS at most), then by sorting within the cells that hold a wanted rank only. No task holds a
+    group's values in memory. The cells' borders are approximate; they change the work of a task, not the result.
+    """
+    x = F.col(value).cast("double")
+    n = df.agg(F.count(value)).first()[0]
+    cells = max(1, min(MOST_CELLS, n // CELL_ROWS))
+    cuts = sorted(set(df.agg(F.percentile_approx(x, [i / cells for i in range(1, cells)])).first()[0])) if cells > 1 else []
+    counts = df.groupBy(*keys, x.alias("_x")).agg(F.count(value).alias("_n")).withColumn("_cell", F.when(F.col("_x").isNull(), -1).otherwise(_cell(cuts, F.col("_x"))))
+    per = counts.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_cell"))
+    per = per.withColumns({"_before": upto - F.col("_c"), "_all": F.sum("_c").over(Window.partitionBy(*keys))})
+    at = [F.lit(float(q)) * (F.col("_all") - 1) for q in qs.values()]
+    wanted = functools.reduce(lambda m, p: m | ((F.col("_before") <= F.ceil(p)) & (F.col("_before") + F.col("_c") > F.floor(p))), at, F.col("_cell") == -1)
+    per = per.where(wanted).select(*[F.col(c).alias(f"_at_{c}") for c in (*keys, "_cell")], "_before", "_all")
+    same = functools.reduce(lambda m, c: m & F.col(c).eqNullSafe(F.col(f"_at_{c}")), keys, F.col("_cell") == F.col("_at__cell"))
+    hot = counts.join(per, same).select(*keys, "_x", "_n", "_cell", "_before", "_all")
+    end = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_cell").orderBy("_x"))
+    hot = hot.withColumn("_end", end)
+    holds = lambda p: F.max(F.when((F.col("_end") - F.col("_n") <= p) & (p < F.col("_end")), F.col("_x")))
+    low = [holds(F.floor(p)).alias(f"_l{i}") for i, p in enumerate(at)]
+    high = [holds(F.ceil(p)).alias(f"_h{i}") for i, p in enumerate(at)]
+    got = hot.groupBy(*keys).agg(F.max("_all").alias("_all"), *low, *high)
+
+    def between(i: int, p: Column) -> Column:
+        a, b = F.col(f"_l{i}"), F.col(f"_h{i}")
+        return F.when(a == b, a).otherwise((F.ceil(p) - p) * a + (p - F.floor(p)) * b)
+
+    return got.select(*keys, *[between(i, p).alias(name) for i, (name, p) in enumerate(zip(qs, at, strict=True))])
 
 
 def stepwise_quantile(df: DataFrame, value: str, q: float, keys: tuple[str, ...] = (), name: str = "q") -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sumfold.operators import cms, exact, hll, topk
+from sumfold.operators import cms, exact, hll, quantile, topk
 from sumfold.plans.registry import query
 from sumfold.plans.sketches import _D, _W, _estimates, hll_cells, hll_estimate
 from sumfold.sources.tables import table
@@ -29,10 +29,8 @@ def event_dashboard(spark, d):
            CASE WHEN quantile_cont(value, 0.95) < 200 THEN 'PASS' ELSE 'FAIL' END AS sla FROM events GROUP BY event_type
 """)
 def sla_dashboard(spark, d):
-    q = F.percentile("value", [0.5, 0.95, 0.99])
-    p = table(spark, d, "events").groupBy("event_type").agg(q.alias("q"))
-    names = [F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))]
-    return p.select("event_type", *names, F.when(F.col("q")[1] < 200, "PASS").otherwise("FAIL").alias("sla"))
+    p = quantile.exact_quantiles(table(spark, d, "events"), "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, ("event_type",))
+    return p.select("event_type", *[F.round(n, 6).alias(n) for n in ("p50", "p95", "p99")], F.when(F.col("p95") < 200, "PASS").otherwise("FAIL").alias("sla"))
 
 
 @query("SELECT count(DISTINCT url) AS crawled, count(*) - count(DISTINCT url) AS skipped, count(*) AS pages FROM pages")
@@ -122,8 +120,10 @@ def campaign_funnel(spark, d):
     of = lambda t, x=None: F.when(F.col("event_type") == t, F.lit(1) if x is None else F.col(x))
     m = e.groupBy("campaign").agg(
         F.count(of("view")).alias("impressions"), F.count(of("click")).alias("clicks"), F.count(of("purchase")).alias("conversions"), F.sum(of("click", "value")).alias("spend"),
-        F.count_distinct(of("view", "user_id")).alias("reach"), F.round(F.percentile(of("view", "value"), 0.95), 6).alias("load_p95"),
+        F.count_distinct(of("view", "user_id")).alias("reach"),
     )
+    p = quantile.exact_quantiles(e.withColumn("load", of("view", "value")), "load", {"p95": 0.95}, ("campaign",)).select(F.col("campaign").alias("_c"), F.round("p95", 6).alias("load_p95"))
+    m = m.join(p, F.col("campaign").eqNullSafe(F.col("_c")))
     rate = lambda a, b, k, n: F.round(F.try_divide(k * F.col(a), F.col(b)), n)
     return m.select("campaign", "impressions", "clicks", "conversions", rate("clicks", "impressions", 100.0, 6).alias("ctr"), rate("conversions", "clicks", 100.0, 6).alias("cvr"), rate("spend", "clicks", 1.0, 5).alias("cpc"), rate("spend", "impressions", 1000.0, 3).alias("cpm"), "reach", rate("impressions", "reach", 1.0, 6).alias("frequency"), "load_p95")
 
@@ -135,9 +135,9 @@ def campaign_funnel(spark, d):
 """)
 def engagement_classes(spark, d):
     o = table(spark, d, "orders")
-    p = o.agg(F.percentile("o_totalprice", [0.25, 0.5, 0.75, 0.95]).alias("p"))
+    p = quantile.exact_quantiles(o, "o_totalprice", {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95})
     x = F.col("o_totalprice")
-    named = F.when(x >= F.col("p")[3], "viral").when(x >= F.col("p")[2], "great").when(x >= F.col("p")[1], "good").when(x >= F.col("p")[0], "below_average").otherwise("poor")
+    named = F.when(x >= F.col("p95"), "viral").when(x >= F.col("p75"), "great").when(x >= F.col("p50"), "good").when(x >= F.col("p25"), "below_average").otherwise("poor")
     return o.join(F.broadcast(p), x.isNotNull()).groupBy(named.alias("class")).agg(F.count("*").alias("n"), F.max(x).alias("high"), F.min(x).alias("low"))  # p is one row
 
 
@@ -159,7 +159,9 @@ def url_clicks(spark, d):
 """)
 def error_report(spark, d):
     e = table(spark, d, "events")
-    g = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.percentile("value", 0.95), 6).alias("p95"), F.round(F.min(F.when(F.col("value") > 0, F.col("value"))), 6).alias("low_positive"))
+    g = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.min(F.when(F.col("value") > 0, F.col("value"))), 6).alias("low_positive"))
+    p = quantile.exact_quantiles(e, "value", {"p95": 0.95}, ("event_type",)).select(F.col("event_type").alias("_t"), F.round("p95", 6).alias("p95"))
+    g = g.join(p, F.col("event_type").eqNullSafe(F.col("_t")))
     return g.join(F.broadcast(g.agg(F.sum("n").alias("_all"))), F.col("n") > 0).select("event_type", "n", F.round(100.0 * F.col("n") / F.col("_all"), 6).alias("share"), "p95", "low_positive")
 
 

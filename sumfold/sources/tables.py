@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_own: str | None = None
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table of a folder; filters and columns are pushed into the scan."""
@@ -42,3 +48,17 @@ def retain(df: DataFrame, days: int, day: str = "day") -> DataFrame:
     """Rows of the last `days` days before the newest one in the data, not before today."""
     newest = df.agg(F.max(day).alias("d")).first().d
     return df if newest is None else df.where(F.col(day) > F.date_sub(F.lit(newest), days))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where driver and executors both write: the folder that spark.checkpoint.dir names, or else the warehouse; if both are one process, a temporary one."""
+    global _own
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if _own is None:
+        _own = tempfile.mkdtemp(prefix="sumfold-streams-")
+        atexit.register(shutil.rmtree, _own, ignore_errors=True)
+    return f"file://{_own}"

@@ -6,6 +6,7 @@ what the batch query would give for the input so far.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sumfold.operators import hll
+from sumfold.sources.tables import shared_folder
 
 
 def timed(events: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -75,7 +77,21 @@ def first_seen(events: DataFrame, key: str) -> DataFrame:
 
 
 def run_once(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Drain what is available into a memory table and give it back."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Drain what is available into a table of the shared folder and give it back: the last result in complete mode, else all batches.
+
+    Rows are written by the executors; the table and the query's state go with the application.
+    """
+    spark, epochs = df.sparkSession, []
+    path = f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/{epoch}")
+        epochs.append(epoch)
+
+    q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    if not epochs:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(*[f"{path}/rows/{e}" for e in (epochs[-1:] if mode == "complete" else sorted(set(epochs)))])

@@ -211,3 +211,20 @@ def test_sized_bloom_queries_keep_their_rate(spark, tmp_path):
     assert len(days) == 6000 and sum(r.days - 1 for r in days) < 0.03 * 6000
     assert run("bloom_sized_merge_saturation").first().fpr_from_saturation < 0.02
     assert {r.event_type for r in run("bloom_sized_bits").select("event_type").distinct().collect()} == {"error", "view"}
+
+
+@pytest.mark.parametrize("cell_rows", [1_000_000, 7])
+def test_exact_quantiles_in_cells(spark, monkeypatch, cell_rows):
+    monkeypatch.setattr(quantile, "CELL_ROWS", cell_rows)
+    rng = np.random.default_rng(3)
+    rows = [(None if k == 2 else k, float(x)) for k, x in zip(rng.integers(0, 3, 400).tolist(), rng.integers(0, 60, 400).tolist(), strict=True)]
+    rows += [(0, 5.0)] * 300 + [(7, None)] * 2 + [(0, None), (8, 1.5)]
+    df = spark.createDataFrame(rows, "k long, x double")
+    qs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.95, "e": 1.0}
+    got = {r.k: tuple(r)[1:] for r in quantile.exact_quantiles(df, "x", qs, ("k",)).collect()}
+    for k in (0, 1, None, 8):
+        want = np.percentile([x for g, x in rows if g == k and x is not None], [100 * q for q in qs.values()])
+        assert np.allclose(got[k], want)
+    assert got[7] == (None,) * 5 and len(got) == 5
+    assert np.allclose(quantile.exact_quantiles(df, "x", qs).first(), np.percentile([x for _, x in rows if x is not None], [100 * q for q in qs.values()]))
+    assert quantile.exact_quantiles(df.limit(0), "x", qs, ("k",)).collect() == [] and quantile.exact_quantiles(df.limit(0), "x", qs).collect() == [(None,) * 5]
