@@ -87,15 +87,15 @@ def most_similar(index: DataFrame, asked: DataFrame, k: int, prefix_bits: int |
     """The k most similar sets (query, rank, key, similarity), ties by key.
 
     index: (key, sig); asked: (query, sig). Without prefix_bits every set is compared with a broadcast block
-    of the queries at a time. With them only sets are that share the leading bits of some place with the
-    query, by an equi-join.
+    of the queries at a time. With them only sets are that share the trailing bits of some place with the
+    query, by an equi-join; leading bits of minima are zero in most sets, which would make all sets meet.
     """
     q = asked.select("query", F.col("sig").alias("_q"))
     if prefix_bits is None:
         parts = [index.join(F.broadcast(part)) for part in knn.blocks(q, BLOCK)]
         sims = reduce(lambda a, b: a.unionAll(b), parts)
     else:
-        cells = lambda df, key: df.select(key, F.posexplode(F.transform("sig", lambda h: F.shiftright(h, 32 - prefix_bits))).alias("pos", "lead"))
+        cells = lambda df, key: df.select(key, F.posexplode(F.transform("sig", lambda h: h.bitwiseAND((1 << prefix_bits) - 1))).alias("pos", "lead"))
         hits = cells(asked, "query").join(cells(index, "key"), ["pos", "lead"]).select("query", "key").distinct()
         sims = hits.join(q, "query").join(index.select("key", "sig"), "key")
     scored = sims.select("query", "key", minhash.jaccard(F.col("_q"), F.col("sig")).alias("similarity"))

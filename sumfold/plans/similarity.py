@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sumfold.operators import exact, knn, lsh, minhash
 from sumfold.plans.registry import query
-from sumfold.sources.tables import spread, table
+from sumfold.sources.tables import once, spread, table
 
 PERMS = 32
 
@@ -25,6 +25,11 @@ def _signed(df):
     return df.withColumn("sig", minhash.signature_arrow(F.col("words"), PERMS, 1))
 
 
+def _signed_once(df):
+    """(key, sig), stored, for plans that read signatures on several sides."""
+    return once(_signed(df).select("key", "sig"), "signatures")
+
+
 _WORDS = "list_distinct(list_filter(string_split(lower(text), ' '), lambda w: length(w) > 0))"
 _PAIRS = "(VALUES " + ", ".join(f"({i}, {a}::HUGEINT, {b}::HUGEINT)" for i, (a, b) in enumerate(minhash.coefficients(PERMS, 1))) + ") AS p(pos, a, b)"
 
@@ -58,7 +63,7 @@ def minhash_merge_union(spark, d):
     FROM x a JOIN x b ON b.key IN (a.key + 1, a.key + 2, a.key + 3)
 """)
 def jaccard_exact_vs_est(spark, d):
-    x = _signed(_docs(spark, d))
+    x = once(_signed(_docs(spark, d)), "signatures")
     a, b = x.select(F.col("key").alias("a"), F.col("words").alias("wa"), F.col("sig").alias("sa")), x.select(F.col("key").alias("b"), F.col("words").alias("wb"), F.col("sig").alias("sb"))
     a = a.withColumn("b", F.explode(F.array(F.col("a") + 1, F.col("a") + 2, F.col("a") + 3)))  # neighbours as an equi-join
     return a.join(b, "b").select("a", "b", F.round(minhash.exact_jaccard(F.col("wa"), F.col("wb")), 8).alias("exact"), F.round(minhash.jaccard(F.col("sa"), F.col("sb")), 8).alias("estimate"))
@@ -101,13 +106,13 @@ def _pairs_sql(sigs: str, least: float) -> str:
 
 @query(_pairs_sql(_sigs(), 0.5))
 def lsh_pairs(spark, d):
-    index = lsh.MinHashLSH(_signed(_docs(spark, d)), 0.5, PERMS, (_B, _R))
+    index = lsh.MinHashLSH(_signed_once(_docs(spark, d)), 0.5, PERMS, (_B, _R))
     return index.pairs().withColumn("similarity", F.round("similarity", 8))
 
 
 @query(f"SELECT key, min(key) OVER (PARTITION BY sig) AS representative FROM ({_sigs()})")
 def lsh_members(spark, d):
-    return lsh.MinHashLSH(_signed(_docs(spark, d)), 0.5, PERMS, (_B, _R)).members()
+    return lsh.MinHashLSH(_signed_once(_docs(spark, d)), 0.5, PERMS, (_B, _R)).members()
 
 
 def _benchmark(spark, d):
@@ -124,14 +129,14 @@ _Q = f"SELECT key AS query, sig FROM ({_sigs('benchmark', 'item_id')})"
     SELECT query, key, round({_SIM.format('q.sig', 's.sig')}, 8) AS similarity FROM c JOIN q USING (query) JOIN s USING (key) WHERE {_SIM.format('q.sig', 's.sig')} >= 0.1
 """)
 def lsh_query(spark, d):
-    index = lsh.MinHashLSH(_signed(_docs(spark, d)), 0.1, PERMS, (_B, _R))
+    index = lsh.MinHashLSH(_signed_once(_docs(spark, d)), 0.1, PERMS, (_B, _R))
     return index.query(_benchmark(spark, d)).withColumn("similarity", F.round("similarity", 8))
 
 
 @query(_pairs_sql(f"SELECT * FROM ({_sigs()}) WHERE key NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)", 0.3))
 def lsh_remove_merge(spark, d):
     """Three indexes, merged, without the toxic documents."""
-    x = _signed(_docs(spark, d))
+    x = _signed_once(_docs(spark, d))
     parts = [lsh.MinHashLSH(x.where(F.pmod("key", F.lit(3)) == i), 0.3, PERMS, (_B, _R)) for i in range(3)]
     toxic = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("key"))
     return sum(parts).remove(toxic).pairs().withColumn("similarity", F.round("similarity", 8))
@@ -182,12 +187,12 @@ def lsh_stats(spark, d):
     SELECT query, rank, key, round(similarity, 8) AS similarity FROM r WHERE rank <= 5
 """)
 def topk_similar(spark, d):
-    return lsh.most_similar(_signed(_docs(spark, d)), _benchmark(spark, d), 5).withColumn("similarity", F.round("similarity", 8))
+    return lsh.most_similar(_signed_once(_docs(spark, d)), _benchmark(spark, d), 5).withColumn("similarity", F.round("similarity", 8))
 
 
 @query()
 def topk_similar_by_prefix(spark, d):
-    return lsh.most_similar(_signed(_docs(spark, d)), _benchmark(spark, d), 5, prefix_bits=8)
+    return lsh.most_similar(_signed_once(_docs(spark, d)), _benchmark(spark, d), 5, prefix_bits=8)
 
 
 @query(f"""
@@ -307,7 +312,7 @@ def plagiarism_pairs(spark, d):
     """Near copies among all documents by runs of five words, similarity 0.8 or more."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.filter(F.split(F.lower("text"), " "), lambda v: F.length(v) > 0).alias("w"))
     docs = docs.select("key", _shingles(F.col("w")).alias("words"))
-    index = lsh.MinHashLSH(_signed(docs), 0.8, PERMS, (16, 2))
+    index = lsh.MinHashLSH(_signed_once(docs), 0.8, PERMS, (16, 2))
     return index.pairs().withColumn("similarity", F.round("similarity", 8))
 
 

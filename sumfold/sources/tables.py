@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,15 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     if _own is None:
-        _own = tempfile.mkdtemp(prefix="sumfold-streams-")
+        _own = tempfile.mkdtemp(prefix="sumfold-tables-")
         atexit.register(shutil.rmtree, _own, ignore_errors=True)
     return f"file://{_own}"
+
+
+def once(df: DataFrame, tag: str) -> DataFrame:
+    """df, written to the shared folder and read back, for what is costly to compute and read more than once, as both sides of a self-join are. The table goes with the application."""
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    df.write.parquet(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return spark.read.schema(df.schema).parquet(path)
