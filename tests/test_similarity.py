@@ -157,6 +157,34 @@ def test_exact_pairs(spark):
         assert len(got) == len(want) and {(int(r.a), int(r.b)): r.similarity for r in got} == pytest.approx(want)
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_exact_pairs_in_many_blocks_write_no_candidates(spark, monkeypatch, small):
+    from sumfold.operators import setjoin
+
+    if small:  # many blocks, sizes dealt over several blocks, batches of a few counters, items looked up by value
+        for name, n in (("CELLS", 400), ("LEAST_CELLS", 100), ("DENSE", 0), ("COUNTERS", 50), ("HITS", 200)):
+            monkeypatch.setattr(setjoin, name, n)
+    written, once = {}, setjoin.once
+    monkeypatch.setattr(setjoin, "once", lambda df, tag: [out := once(df, tag), written.update({tag: out.count()})][0])
+    rng = np.random.default_rng(5)
+    words = {i: {*rng.zipf(1.3, int(rng.integers(5, 120))).tolist()} for i in range(200)}
+    words |= {300 + i: {*list(words[i])[:-1], -i} for i in range(50)} | {400 + i: words[i] for i in range(20)} | {500 + i: {*range(1, 20), 1000 + i} for i in range(150)}
+    df = spark.createDataFrame([(k, [str(x) for x in w]) for k, w in words.items()], "key long, words array<string>")
+    first = {}
+    for k in sorted(words):
+        first.setdefault(frozenset(words[k]), k)
+    heads = sorted(first.values())
+    stored = setjoin.numbered(df)
+    assert (setjoin.blocks(stored).count() > 10) == small
+    for t in (0.02, 0.3, 0.9):
+        want = {(a, b): len(words[a] & words[b]) / len(words[a] | words[b]) for a in heads for b in heads if a < b}
+        want = {p: s for p, s in want.items() if s >= t}
+        got = setjoin.pairs(stored, t).collect()
+        assert len(got) == len(want) and {(r.a, r.b): r.similarity for r in got} == pytest.approx(want)
+        assert written.pop("pairs") == len(want)
+    assert lsh.exact_pairs(df.limit(0), 0.5).collect() == []
+
+
 def test_exact_query_finds_links_at_the_threshold(spark, tmp_path):
     from sumfold.plans import registry
 
