@@ -215,3 +215,30 @@ def test_tf_weighted_search_compares_ids_that_are_far_apart(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.query, r.key): r.jaccard for r in registry.queries()["tf_weighted_search"](spark, str(tmp_path)).collect()}
     assert got == {(100, 250): 1.0, (100, 777): 0.4}
+
+
+def test_tf_weighted_search_shuffles_no_pairs(spark, monkeypatch, tmp_path):
+    from collections import Counter
+
+    from sumfold.operators import termsearch
+    from sumfold.plans import registry
+
+    rng = np.random.default_rng(6)
+    texts = [(i * 20, " ".join(f"w{x}" for x in rng.zipf(1.4, int(rng.integers(0, 80))) if x < 300)) for i in range(60)] + [(100, "w1 w1 w2"), (None, "w1"), (7, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    bags = {}
+    for k, t in texts:
+        if k is not None and t:
+            bags[k] = bags.get(k, Counter()) + Counter(t.split())
+    want = {(q, k): round(s / ((bags[q] | bags[k]).total()), 8) for q in bags if q % 100 == 0 for k in bags if k != q and (s := (bags[q] & bags[k]).total())}
+    monkeypatch.setattr(termsearch, "HITS", 50)
+    monkeypatch.setattr(termsearch, "COUNTERS", 30)
+    for tokens, dense in ((1 << 20, 1024), (1 << 20, 7), (100, 0)):
+        monkeypatch.setattr(termsearch, "TOKENS", tokens)
+        monkeypatch.setattr(termsearch, "DENSE", dense)
+        df = registry.queries()["tf_weighted_search"](spark, str(tmp_path))
+        assert {(r.query, r.key): r.jaccard for r in df.collect()} == pytest.approx(want)
+    texts = [(i * 20, "a b") for i in range(60)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/unique/documents.parquet")
+    plan = registry.queries()["tf_weighted_search"](spark, f"{tmp_path}/unique")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
