@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import math
 import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,12 +53,34 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     files.deleteOnExit(p)
     _written.append(path)
+    trim(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
 cut = stored  # the operators' slim tables: ids, counts, signatures
 
 
+def trim(spark: SparkSession) -> bool:
+    """Give back what the driver's two processes hold of freed native memory; whether the JVM did so.
+
+    Planning and compiling dozens of jobs leaves freed blocks in the C library's pools, one for
+    each few of some hundred threads. Where the C library or the JVM has no such call, nothing happens.
+    """
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+    jvm = spark._jvm
+    try:  # by reflection on the public interface, as the class behind it is closed
+        beans = jvm.java.lang.Class.forName("javax.management.MBeanServer")
+        call = next(m for m in beans.getMethods() if m.getName() == "invoke")
+        args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        return False
+    return True
+
+
 def mark() -> int:
     """A place in the list of intermediate tables, for sweep()."""
     return len(_written)

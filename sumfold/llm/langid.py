@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sumfold.llm.common import small_batches
+from sumfold.llm.common import small_batches, trim
 
 BUCKETS, DIM, PER_LANG, LANGS, CACHE, MOST_REJECTED = 1 << 16, 16, 600, 1000, 200_000, 0.4
 KEPT, PIECE, BLOCK = 64, 4096, 1 << 20  # characters of a word that is kept, of a piece of a word, hashed at once
@@ -198,7 +198,10 @@ def fit(docs: DataFrame, keep: Column | None = None, doc_id: str = "doc_id", tex
 
     got = rows.where(draw < share).select(F.col("i").cast("string").alias("i"), "t", "l").mapInPandas(featured, "i string, l string, f array<binary>, x array<binary>").collect()
     got.sort(key=lambda r: (r.i or "", r.l, r.f))
-    return learn([([(np.frombuffer(f, "<u2").astype(np.int64), np.frombuffer(x, "<f4")) for f, x in zip(r.f, r.x, strict=True)], r.l) for r in got])
+    model = learn([([(np.frombuffer(f, "<u2").astype(np.int64), np.frombuffer(x, "<f4")) for f, x in zip(r.f, r.x, strict=True)], r.l) for r in got])
+    del got
+    trim(docs.sparkSession)
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -45,3 +45,24 @@ def test_crc(spark):
 
     rows = spark.createDataFrame([(5,), (None,)], "i long").select(common.crc_mod("i", 7).alias("m")).collect()
     assert [r.m for r in rows] == [zlib.crc32(b"5") % 7, None]
+
+
+def test_stored_gives_freed_native_memory_back(spark):
+    """Freed blocks below one that is in use stay in the driver's JVM until it is told to trim."""
+    unsafe = spark._jvm.java.lang.Class.forName("sun.misc.Unsafe").getDeclaredField("theUnsafe")
+    unsafe.setAccessible(True)
+    unsafe = unsafe.get(None)
+    pid = spark._jvm.java.lang.ProcessHandle.current().pid()
+
+    def held():
+        return sum(int(x.split()[1]) for x in Path(f"/proc/{pid}/smaps_rollup").read_text().splitlines() if x.startswith("Pss_Anon")) >> 10
+
+    blocks = [unsafe.allocateMemory(100_000) for _ in range(3000)]
+    for b in blocks:
+        unsafe.setMemory(b, 100_000, 1)
+    for b in blocks[:-1]:
+        unsafe.freeMemory(b)
+    before = held()
+    assert common.stored(spark.range(3), "trimmed").count() == 3
+    assert before - held() > 150
+    unsafe.freeMemory(blocks[-1])
