@@ -1,9 +1,11 @@
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +97,94 @@ def test_empty_table(spark):
     docs = frame(spark, [])
     held = F.coalesce(crc_mod("doc_id", 5) == 1, F.lit(False))
     assert maxent.score(docs, maxent.train(docs, ~held, rounds=1), held).collect() == []
+
+
+def plain_step(w, square, level, rows, goal, group):
+    """The same AdaGrad step with every sum taken column by column."""
+    z = sum(w.table[level][r] for r in rows) + (w.bias[0] if level == 0 else w.bias[1][group])
+    g = np.exp(np.clip(z, -60, 60))
+    g /= g.sum(axis=1, keepdims=True)
+    g[np.arange(len(goal)), goal] -= 1
+    flat = rows.ravel().astype(np.uint16)
+    order = np.argsort(flat, kind="stable")
+    start = np.flatnonzero(np.append(True, flat[order][1:] != flat[order][:-1]))
+    total = np.add.reduceat(np.ascontiguousarray(g.T).take(order % len(goal), axis=1), start, axis=1).T
+    which, n = flat[order][start].astype(int), np.diff(np.append(start, len(order)))
+    total /= np.sqrt(n)[:, None].astype(np.float32)
+    square[which] += (total * total).sum(axis=1) / g.shape[1]
+    w.table[level][which] -= np.float32(maxent.RATE) * total / np.sqrt(square[which])[:, None]
+
+
+def test_a_step_is_the_plain_one_in_less_time():
+    rng, side, size = np.random.default_rng(3), 32, 1 << 16
+    v = maxent.Vocabulary(side, size, *[None] * 5, 0, 0, *[None] * 3, -1)
+    bias = (rng.normal(size=side).astype(np.float32), rng.normal(size=(side, side)).astype(np.float32))
+    one, plain = maxent.Learner(v, maxent.Weights(bias, [np.zeros((size, side), np.float32)] * 2)), maxent.Learner(v, maxent.Weights(bias, [np.zeros((size, side), np.float32)] * 2))
+    took = [[], []]
+    for _ in range(7):
+        goal, group = rng.integers(0, side, (2, maxent.CHUNK))
+        rows = np.stack([rng.integers(0, size, maxent.CHUNK), rng.zipf(1.3, maxent.CHUNK) % size, rng.zipf(1.1, maxent.CHUNK) % size, rng.integers(0, 257, maxent.CHUNK)]).astype(np.int32)
+        for level in (0, 1):
+            begun = time.thread_time()
+            one.step(level, rows, goal, group)
+            took[0].append(time.thread_time() - begun)
+            begun = time.thread_time()
+            plain_step(plain.w, plain.square[level], level, rows, goal, group)
+            took[1].append(time.thread_time() - begun)
+    for a, b in zip([*one.w.table, *one.square], [*plain.w.table, *plain.square], strict=True):
+        assert np.allclose(a, b, rtol=1e-3, atol=1e-4)
+    assert min(took[0]) < 0.7 * min(took[1])
+
+
+def test_sums_equal_brute_force():
+    rng = np.random.default_rng(4)
+    g = rng.normal(size=(500, 16)).astype(np.float32)
+    for n in ([1, 1, 1], [1], [500, 8, 9, 7, 1, 16, 1], [70000, 1, 66000, 3]):
+        n = np.array(n)
+        token, start = rng.integers(0, 500, n.sum()), np.cumsum(n) - n
+        total, by = maxent.sums(g, token, start, n)
+        assert sorted(by) == list(range(len(n)))
+        want = [g.astype(float)[token[start[i] : start[i] + n[i]]].sum(axis=0) for i in by]
+        assert np.allclose(total, want, rtol=1e-3, atol=1e-2)
+
+
+def test_window_equals_brute_force():
+    rng = np.random.default_rng(5)
+    n = [1, 1, 47, 48, 49, 50, 9000, 1, *rng.integers(1, 80, 200), *[1] * 5000]
+    group, at = rng.integers(0, 5, sum(n)), np.concatenate([np.arange(k) for k in n])
+    got = maxent.most_held(group, at, 16)
+    for i in {*range(400), *range(4000, 4300), *range(8100, len(group), 7)}:
+        before = Counter(group[i - min(at[i], maxent.WINDOW) : i].tolist())
+        best = min(before, key=lambda c: (-before[c], c), default=None)
+        assert got[i] == (-1 if best is None else best * 8 + min(7, before[best] * 8 // sum(before.values())))
+
+
+def test_texts_are_split_and_numbered_alike_by_either_path(spark):
+    texts = [*odd_texts(), "\x0bA\x0cb\x1cC\x85d E　f\r\n", "   ", "ÄÖ İ KK ÀB", "x" * 70000 + " y", "zz zz zz. zz. a", "a " * 9000, " tail", None]
+    words, n = maxent.split(pa.array([*texts, "cut"], pa.string())[:-1])
+    assert words.to_pylist() == [w for t in texts for w in maxent.tokens(t)] and n.tolist() == [len(maxent.tokens(t)) for t in texts]
+    assert maxent.split(pa.array([None, "", " "], pa.string()))[1].tolist() == [0, 0, 0]
+    for head in (maxent.HEAD, 5, 0):
+        counts = maxent.count_tokens(frame(spark, texts))
+        assert {bytes(r.token): r.c for r in counts.collect()} == Counter(w for t in texts for w in [*maxent.tokens(t), maxent.END])
+        v = maxent.vocabulary(counts, head)
+        batches = [pa.record_batch([pa.array(texts[a : a + 4], pa.string())], ["t"]) for a in range(0, len(texts), 4)]
+        for batch, found in maxent.look_up(v, iter(batches), 0):
+            whole = maxent.Batch(v, [maxent.tokens(t) for t in batch.column(0).to_pylist()])
+            parts = [maxent.Batch(v, p) for _, _, p in found.pieces()]
+            for x in ("n", "word", "group", "place", "again"):
+                assert np.concatenate([getattr(p, x) for p in parts]).tolist() == getattr(whole, x).tolist()
+            flat = [w for t in batch.column(0).to_pylist() for w in [*maxent.tokens(t), maxent.END]]
+            assert whole.tokens(np.arange(len(flat))).to_pylist() == flat
+            assert [i for i in range(1, len(flat)) if flat[i] == flat[i - 1] != maxent.END] == np.flatnonzero(whole.again).tolist()
+
+
+def test_counts_are_merged_within_a_task(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "FLUSH", 40)
+    texts = [prose(30, s % 3) + f" own{s}" for s in range(60)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = {bytes(r.token): r.c for r in maxent.count_tokens(frame(spark, texts)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == Counter(w for t in texts for w in [*maxent.tokens(t), maxent.END])
